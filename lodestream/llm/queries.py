@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from lodestream.llm.decontaminate import op10_benchmark_decontamination
 from lodestream.llm.quality import op5_quality_rules
 from lodestream.llm.simhash import op6_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_simhash_near_dedup, op10_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
