@@ -5,6 +5,7 @@ from __future__ import annotations
 from lodestream.llm.decontaminate import op10_benchmark_decontamination
 from lodestream.llm.quality import op5_quality_rules
 from lodestream.llm.simhash import op6_simhash_near_dedup
+from lodestream.llm.tokenfile import op2_token_files
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_simhash_near_dedup, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op5_quality_rules, op6_simhash_near_dedup, op10_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
