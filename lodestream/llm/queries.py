@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from lodestream.llm.decontaminate import op10_benchmark_decontamination
+from lodestream.llm.langid import op8_language_id
 from lodestream.llm.packing import op7_best_fit_packing
 from lodestream.llm.quality import op5_quality_rules
 from lodestream.llm.simhash import op6_simhash_near_dedup
 from lodestream.llm.tokenfile import op2_token_files
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op5_quality_rules, op6_simhash_near_dedup, op7_best_fit_packing, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op5_quality_rules, op6_simhash_near_dedup, op7_best_fit_packing, op8_language_id, op10_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
