@@ -7,8 +7,9 @@ from lodestream.llm.langid import op8_language_id
 from lodestream.llm.linededup import OP3_SQL, op3_line_dedup
 from lodestream.llm.packing import op7_best_fit_packing
 from lodestream.llm.quality import op5_quality_rules
+from lodestream.llm.secrets import OP1_SQL, op1_secret_scan
 from lodestream.llm.simhash import op6_simhash_near_dedup
 from lodestream.llm.tokenfile import op2_token_files
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_line_dedup, op5_quality_rules, op6_simhash_near_dedup, op7_best_fit_packing, op8_language_id, op10_benchmark_decontamination)}
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_files, op3_line_dedup, op5_quality_rules, op6_simhash_near_dedup, op7_best_fit_packing, op8_language_id, op10_benchmark_decontamination)}
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": OP1_SQL, "op3_line_dedup": OP3_SQL}
