@@ -59,34 +59,30 @@ def _repeat_words(words: Column, n: Column) -> Column:
     return F.when(n >= 3, covered).otherwise(F.lit(0).cast("long"))
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the counts that the rules use; all of a text's words are looked at, whatever its length.
-
-    A null text counts as an empty one. Repeated rows are measured each on its own. Columns of docs that have the name
-    of a measure are replaced by it.
-    """
-    t = F.coalesce(F.col(text), F.lit(""))
-    words, n = F.col("__words"), F.size("__words")
-    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    kept = [c for c in docs.columns if c not in MEASURES]
-    out = docs.select(*kept, F.filter(F.split(t, SPACE_RX, -1), lambda x: x != "").alias("__words"))
-    return out.select(
-        *kept,
-        n.cast("long").alias("n_words"),
-        F.char_length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
-        (F.char_length(t) - F.char_length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _repeat_words(words, n).alias("n_repeat_words"),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.size(F.filter(words, lambda x: ascii_lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-    )
-
-
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
 
 
-def _ratio(a: str, b: str) -> Column:
-    return F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+def measures(text: Column) -> Column:
+    """All measures of a text as one struct. Its words and lines are bound once, so that no rewriting of the plan (a
+    filter pushed below, two projections made one) can put their computation into a loop over words."""
+    t = F.coalesce(text, F.lit(""))
+    count = lambda c: c.cast("long")
+
+    def of(words: Column, lines: Column) -> Column:
+        n = F.size(words)
+        return F.struct(
+            count(n).alias("n_words"),
+            count(F.char_length(F.translate(t, SPACES, ""))).alias("word_chars"),
+            count(F.char_length(t) - F.char_length(F.translate(t, "#*$%&|<>", ""))).alias("n_symbols"),
+            count(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
+            _repeat_words(words, n).alias("n_repeat_words"),
+            count(F.size(lines)).alias("n_lines"),
+            count(F.size(F.filter(words, lambda x: ascii_lower(x).isin(STOP_WORDS)))).alias("n_stop_words"),
+        )
+
+    words = F.filter(F.split(t, SPACE_RX, -1), lambda x: x != "")
+    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return let(words, lambda w: let(lines, lambda x: of(w, x)))
 
 
 RATIOS = {
@@ -98,27 +94,38 @@ RATIOS = {
 }
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
 
 
-def verdict(rules=RULES) -> Column:
-    """The conjunction of the rule table, as one boolean column over measure()'s columns."""
+def verdict(m: Column, rules=RULES) -> Column:
+    """The conjunction of the rule table, as one boolean over a struct of measures."""
     out = F.lit(True)
     for r in rules:
-        x, ok = _ratio(*RATIOS[r.metric]), F.lit(True)
+        a, b = RATIOS[r.metric]
+        x, ok = F.coalesce(F.try_divide(m[a].cast("double"), m[b].cast("double")), F.lit(0.0)), F.lit(True)
         if r.lo is not None:
             ok = ok & (x >= r.lo)
         if r.hi is not None:
             ok = ok & (x <= r.hi)
-        out = out & (ok | (F.col("n_words") < r.at_least_words))
+        out = out & (ok | (m["n_words"] < r.at_least_words))
     return out
 
 
+def is_kept(text: Column, rules=RULES) -> Column:
+    """A filter condition: neither base_failed nor rejected by the rules. It measures a text once."""
+    return let(measures(text), lambda m: ~base_failed(m) & verdict(m, rules))
+
+
 def quality(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
-    """docs with all measures, base_failed and kept. Empty in, empty out; see measure() for nulls and clashes."""
-    m = measure(docs, text)
-    return m.select(*[c for c in m.columns if c not in ("base_failed", "kept")], base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
+    """docs with all measures, base_failed and kept; to drop what isn't kept, filter docs by is_kept().
+
+    All of a text is looked at, whatever its length; a null text counts as an empty one. Repeated rows are measured each
+    on its own, empty in is empty out. Columns of docs that have the name of a measure or verdict are replaced by it.
+    """
+    own = [c for c in docs.columns if c not in (*MEASURES, "base_failed", "kept")]
+    m = F.col("__m")
+    return docs.select(*own, measures(F.col(text)).alias("__m")).select(*own, *(m[k].alias(k) for k in MEASURES), base_failed(m).alias("base_failed"), (~base_failed(m) & verdict(m, rules)).alias("kept"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
