@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +67,18 @@ class Written:
 
 def written(df: DataFrame, what: str = "table") -> DataFrame:
     return Written(df, what).df
+
+
+def small(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices whose column (strings or lists) holds about most bytes or values, one row at least.
+
+    Slices share their batch's memory; what is made of a slice is small even where a batch of long texts isn't."""
+    for b in batches:
+        c = b.column(column)
+        wide = pa.types.is_large_string(c.type) or pa.types.is_large_list(c.type)
+        ends = np.frombuffer(c.buffers()[1], np.int64 if wide else np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64) if len(c) else np.zeros(1, np.int64)
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+            yield b.slice(at, to - at)
+            at = to

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Written, table
+from lodestream.llm.common import Written, small, table
 
 CAPACITY, SEPARATOR_ID = 2048, 0
 
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
         from lodestream.llm.tokens import encoder
 
         e = encoder(tokenizer)
-        for b in batches:
+        for b in small(batches, 1, 8 << 20):
             ids, off = e.encode(b.column(1), end)
             sizes = np.diff(off)
             n = -(-sizes // capacity)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import new_path, table
+from lodestream.llm.common import new_path, small, table
 
 #: The end of a document in the contract's files.
 END_ID = 2
@@ -37,7 +37,7 @@ def encoded(docs: DataFrame, keep: list[str], text: str = "text", end: int | Non
         from lodestream.llm.tokens import encoder
 
         e = encoder(tokenizer)
-        for b in batches:
+        for b in small(batches, len(keep), 8 << 20):
             ids, offsets = e.encode(b.column(len(keep)), end)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], names=[*keep, "ids"])
 
