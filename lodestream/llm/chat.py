@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Written, table
+from lodestream.llm.common import Written, table, tidy
 
 #: Rounds of ordering, one for each link of the longest chain of calls, before what is left counts as a cycle.
 MOST_LINKS = 200
@@ -113,7 +113,7 @@ def _parse(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
     kind = messages.schema["conv_id"].dataType.simpleString()
     picked = messages.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text")
-    return picked.mapInArrow(run, f"conv_id {kind}, {_PARSED}").withColumn("mid", F.monotonically_increasing_id())
+    return picked.mapInArrow(tidy(run), f"conv_id {kind}, {_PARSED}").withColumn("mid", F.monotonically_increasing_id())
 
 
 def _linked(rows: DataFrame) -> DataFrame | None:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import table
+from lodestream.llm.common import table, tidy
 
 #: Words of a window, and words of items in one automaton at most (about 1 KB of Python objects a word).
 WINDOW, SHARD_WORDS = 10, 200_000
@@ -165,7 +165,7 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: st
     first = True
     for block in _shards(items, item_id, item_text, shard_words):
         sent = sc.broadcast([(n, b" ".join(w)) for n, w in block])
-        out = out.mapInArrow(_scanner(sent, text, window, first), f"{_ddl(docs)}, {HITS}")
+        out = out.mapInArrow(tidy(_scanner(sent, text, window, first)), f"{_ddl(docs)}, {HITS}")
         first = False
     return out
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import table
+from lodestream.llm.common import table, tidy
 
 UNKNOWN = "und"
 
@@ -83,7 +83,7 @@ def _counts(rows: DataFrame, languages: list[str], how: Settings) -> DataFrame:
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), at[lang]), pa.int32()), pa.array(used, pa.int32()), pa.array(n[used])], names=["lang", "slot", "n"])
 
-    found = rows.where(F.col("lang").isin(languages)).select("lang", "text").mapInArrow(run, "lang int, slot int, n bigint")
+    found = rows.where(F.col("lang").isin(languages)).select("lang", "text").mapInArrow(tidy(run), "lang int, slot int, n bigint")
     return found.groupBy("lang", "slot").agg(F.sum("n").alias("n"))
 
 
@@ -149,7 +149,7 @@ def predict(docs: DataFrame, filters: Filters, keep: list[str], text: str = "tex
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     picked = docs.select(*keep, F.col(text).alias("__text"))
-    return picked.mapInArrow(run, picked.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
+    return picked.mapInArrow(tidy(run), picked.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Written, small, table
+from lodestream.llm.common import Written, small, table, tidy
 
 CAPACITY, SEPARATOR_ID = 2048, 0
 
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
         from lodestream.llm.tokens import encoder
 
         e = encoder(tokenizer)
-        for b in small(batches, 1, 8 << 20):
+        for b in small(batches, 1, 2 << 20):
             ids, off = e.encode(b.column(1), end)
             sizes = np.diff(off)
             n = -(-sizes // capacity)
@@ -62,7 +62,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), schema)
 
 
 class Bins:
@@ -179,7 +179,7 @@ def _epoch(islands: DataFrame, epoch: int, level: int, how: Evolution, capacity:
                 r["elites"] = evolve(r["sizes"], r["elites"], [r["block"], r["island"], epoch, level], how, capacity)
                 yield pa.RecordBatch.from_pylist([r], schema=pa.schema([("block", pa.int64()), ("island", pa.int32()), ("sizes", pa.list_(pa.int32())), ("elites", pa.list_(pa.list_(pa.int32())))]))
 
-    return islands.mapInArrow(run, _ISLAND)
+    return islands.mapInArrow(tidy(run), _ISLAND)
 
 
 def _solve(blocks: DataFrame, level: int, how: Evolution, capacity: int) -> DataFrame:

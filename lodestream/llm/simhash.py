@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Written, table
+from lodestream.llm.common import Written, table, tidy
 from lodestream.llm.graph import components
 
 #: Bytes of a fingerprint, and bits that a near copy may differ in. 2 bits touch 2 bytes at most, so 6 of 8 agree.
@@ -48,7 +48,7 @@ def with_fingerprint(docs: DataFrame, keep: list[str], text: str = "text", words
 
     picked = docs.select(*keep, F.col(text).alias("__text"))
     schema = picked.select(*keep, F.lit(0).cast("bigint").alias("fp")).schema
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(tidy(run), schema)
 
 
 def _shared_bytes(x: Column) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import new_path, small, table
+from lodestream.llm.common import new_path, small, table, tidy
 
 #: The end of a document in the contract's files.
 END_ID = 2
@@ -37,12 +37,12 @@ def encoded(docs: DataFrame, keep: list[str], text: str = "text", end: int | Non
         from lodestream.llm.tokens import encoder
 
         e = encoder(tokenizer)
-        for b in small(batches, len(keep), 8 << 20):
+        for b in small(batches, len(keep), 2 << 20):
             ids, offsets = e.encode(b.column(len(keep)), end)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], names=[*keep, "ids"])
 
     picked = docs.select(*keep, F.col(text).alias("__text"))
-    return picked.mapInArrow(run, picked.select(*keep, F.array(F.lit(0)).alias("ids")).schema)
+    return picked.mapInArrow(tidy(run), picked.select(*keep, F.array(F.lit(0)).alias("ids")).schema)
 
 
 def write_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end: int | None = END_ID, tokenizer: str | None = None) -> None:
@@ -74,7 +74,7 @@ def digest(rows: DataFrame, keep: list[str], ids: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(crc)], names=[*keep, "ids_crc32"])
 
     picked = rows.select(*keep, F.col(ids).alias("__ids"))
-    return picked.mapInArrow(run, picked.select(*keep, F.lit(0).cast("bigint").alias("ids_crc32")).schema)
+    return picked.mapInArrow(tidy(run), picked.select(*keep, F.lit(0).cast("bigint").alias("ids_crc32")).schema)
 
 
 def _number() -> F.Column:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 WORD_BPE = "word_bpe_49k.json"
 #: Words that a worker remembers; beyond, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Words in one call of the tokenizer.
 _JOINED = 4096
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)[.,;:!?#$%&*|<>/()\[\]{}+=@^~\\-]*").fullmatch
