@@ -14,7 +14,7 @@ from lodestream.sources.episodes import events_view, from_events, load, snapshot
 # What the SQL side knows of the episodes and their edges.
 _EP = """ep AS (
   SELECT event_id AS lsn, 'e' || event_id AS id, 'u' || user_id AS agent_id, 'u' || user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id, event_type AS kind, props AS content,
-    epoch_ms(ts) AS ms, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS until,
+    (epoch_us(ts) // 1000) AS ms, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, lead((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY event_id) AS until,
     lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS parent FROM events)"""
 _OPS = """ops AS (
   SELECT lsn, agent_id AS src, 'k' || k AS dst, agent_id || '->k' || k || '#custom:touch' AS edge_id, CASE WHEN kind = 'error' THEN 'r' ELSE 'a' END AS op, kind AS hypothesis,
