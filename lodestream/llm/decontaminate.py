@@ -258,7 +258,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", most_sh
     def cut(t, s):
         import pandas as pd
 
-        return pd.Series([cut_spans(x, [(y["start"], y["end"]) for y in z]) for x, z in zip(t, s, strict=True)])
+        return pd.Series([cut_spans(x, [(y["start"], y["end"]) for y in z]) if len(z) else x for x, z in zip(t, s, strict=True)])
 
     new = F.when(F.size("__spans") > 0, cut(F.col(text), F.col("__spans"))).otherwise(F.col(text))
     out = kept.withColumn(text, new)
