@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 EDGE = 1e-5
 
 
+def let(value: Column, body) -> Column:
+    """body(value), value evaluated once however often body names it: an expression inside a lambda runs anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def vector(values) -> Column:
     return F.array(*(F.lit(float(x)) for x in values)) if len(values) else F.array().cast("array<double>")
 
@@ -39,13 +44,11 @@ def spherical(u: Column, v: Column, k2: float = 1.0) -> Column:
 def to_ball(u: Column, c: float = 1.0) -> Column:
     """u, pulled inside the Poincaré ball if its norm exceeds (1 - 1e-5) / sqrt(c)."""
     most = (1 - EDGE) / c**0.5
-    n = norm(u)
-    return F.transform(u, lambda x: F.when(n > most, x.cast("double") * most / n).otherwise(x.cast("double")))
+    return let(norm(u), lambda n: F.transform(u, lambda x: F.when(n > most, x.cast("double") * most / n).otherwise(x.cast("double"))))
 
 
 def to_sphere(u: Column) -> Column:
-    n = norm(u)
-    return F.transform(u, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return let(u, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))))
 
 
 def hyperbolic(u: Column, v: Column, c: float = 1.0) -> Column:
@@ -67,33 +70,38 @@ def product(row: Column, query: Column, weights=(1.0, 1.0, 1.0), c: float = 1.0,
 
 
 def mobius_add(x: Column, y: Column, c: float = 1.0) -> Column:
-    xy, xx, yy = dot(x, y), dot(x, x), dot(y, y)
-    a, b, d = 1 + 2 * c * xy + c * yy, 1 - c * xx, 1 + 2 * c * xy + c * c * xx * yy
-    return F.zip_with(x, y, lambda p, q: (a * p + b * q) / d)
+    def of(u: Column, v: Column) -> Column:
+        xy, xx, yy = dot(u, v), dot(u, u), dot(v, v)
+        factors = F.struct((1 + 2 * c * xy + c * yy).alias("a"), (1 - c * xx).alias("b"), (1 + 2 * c * xy + c * c * xx * yy).alias("d"))
+        return let(factors, lambda f: F.zip_with(u, v, lambda p, q: (f["a"] * p + f["b"] * q) / f["d"]))
+
+    return let(x, lambda u: let(y, lambda v: of(u, v)))
+
+
+def _scaled(v: Column, factor) -> Column:
+    """v times factor(norm of v); the zero vector stays."""
+    return let(v, lambda u: let(norm(u), lambda n: let(F.when(n > 0, factor(n)).otherwise(1.0), lambda f: F.transform(u, lambda x: f * x.cast("double")))))
 
 
 def exp_map0(v: Column, c: float = 1.0) -> Column:
-    n, r = norm(v), c**0.5
-    return F.transform(v, lambda x: F.when(n > 0, F.tanh(r * n) * x / (r * n)).otherwise(x.cast("double")))
+    r = c**0.5
+    return _scaled(v, lambda n: F.tanh(r * n) / (r * n))
 
 
 def log_map0(y: Column, c: float = 1.0) -> Column:
-    n, r = norm(y), c**0.5
-    return F.transform(y, lambda x: F.when(n > 0, F.atanh(F.least(r * n, F.lit(1 - EDGE))) * x / (r * n)).otherwise(x.cast("double")))
+    r = c**0.5
+    return _scaled(y, lambda n: F.atanh(F.least(r * n, F.lit(1 - EDGE))) / (r * n))
 
 
 def exp_map(x: Column, v: Column, c: float = 1.0) -> Column:
     """From a point x along v: x (+) tanh(sqrt(c) L |v| / 2) v / (sqrt(c) |v|), L the conformal factor."""
-    n, r = norm(v), c**0.5
-    factor = 2 / (1 - c * dot(x, x))
-    return mobius_add(x, F.transform(v, lambda a: F.when(n > 0, F.tanh(r * factor * n / 2) * a / (r * n)).otherwise(a.cast("double"))), c)
+    r = c**0.5
+    return let(x, lambda u: mobius_add(u, _scaled(v, lambda n: F.tanh(r * n / (1 - c * dot(u, u))) / (r * n)), c))
 
 
 def log_map(x: Column, y: Column, c: float = 1.0) -> Column:
     r = c**0.5
-    w = mobius_add(F.transform(x, lambda a: -a), y, c)
-    n, factor = norm(w), 2 / (1 - c * dot(x, x))
-    return F.transform(w, lambda a: F.when(n > 0, 2 / (r * factor) * F.atanh(F.least(r * n, F.lit(1 - EDGE))) * a / n).otherwise(a.cast("double")))
+    return let(x, lambda u: _scaled(mobius_add(F.transform(u, lambda a: -a), y, c), lambda n: (1 - c * dot(u, u)) / r * F.atanh(F.least(r * n, F.lit(1 - EDGE))) / n))
 
 
 def quantize(x: Column, scale: float) -> Column:

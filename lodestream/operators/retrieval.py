@@ -146,3 +146,13 @@ def distill(episodes: DataFrame, embedding: str, window: Column, threshold: floa
 
     rows = episodes.select("lsn", F.col(embedding).alias("v"), window.cast("bigint").alias("w")).where("v IS NOT NULL")
     return rows.groupBy("w").applyInPandas(run, "window bigint, sources array<bigint>, confidence double")
+
+
+def learn_weights(examples: DataFrame, channels: list[str]) -> DataFrame:
+    """One row, a weight per channel: its mean reciprocal rank by itself; all 1 where none has any."""
+    out = None
+    for c in channels:
+        one = mrr(examples, c).select(F.coalesce("mrr", F.lit(0.0)).alias(c))
+        out = one if out is None else out.crossJoin(one)  # one row each
+    total = sum((F.col(c) for c in channels), F.lit(0.0))
+    return out.select(*(F.when(total > 0, F.col(c)).otherwise(1.0).alias(c) for c in channels))

@@ -44,3 +44,44 @@ def counts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = stream.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/streams/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+LEDGER = "key string, value string, lsn bigint, deleted boolean"
+
+
+def ledger_stream(stream: DataFrame) -> DataFrame:
+    """(key, value, lsn, deleted) whenever a key's newest operation changes; stream: lsn, op, key, value.
+
+    The state of a key is its newest operation. One that comes late, with a smaller sequence number, changes nothing."""
+
+    def run(key, frames, state):
+        import pandas as pd
+
+        had = state.get if state.exists else ("", -1, True)
+        now = had
+        for f in frames:
+            for lsn, op, value in f[["lsn", "op", "value"]].itertuples(index=False):
+                if lsn > now[1]:
+                    now = (value, int(lsn), op == "delete")
+        if now != had:
+            state.update(now)
+            yield pd.DataFrame([(str(key[0]), *now)], columns=["key", "value", "lsn", "deleted"])
+
+    return stream.groupBy("key").applyInPandasWithState(run, LEDGER, "value string, lsn bigint, deleted boolean", "append", "NoTimeout")
+
+
+class View:
+    """A table that follows the log batch by batch: fold(state or None, batch) gives the next state.
+
+    States are written whole under path, by the number of the batch, so a batch that comes again after a failure writes
+    the same state from the same one before it."""
+
+    def __init__(self, spark: SparkSession, path: str, fold):
+        self.spark, self.path, self.fold = spark, path.rstrip("/"), fold
+
+    def apply(self, batch: DataFrame, epoch: int) -> None:
+        before = self.spark.read.parquet(f"{self.path}/{epoch - 1}") if epoch else None
+        self.fold(before, batch).write.mode("overwrite").parquet(f"{self.path}/{epoch}")
+
+    def at(self, epoch: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{epoch}")
