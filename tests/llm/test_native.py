@@ -160,6 +160,10 @@ def test_quality(spark):
     assert 0 < sum(r.kept for r in rows)
 
 
+def test_quality_by_sql(spark):
+    assert differences(quality.op5_quality_rules(spark, SF), duck(SF), quality.OP5_SQL) == ""
+
+
 def test_quality_filter_is_the_query(spark):
     kept = {r.doc_id for r in quality.op5_quality_rules(spark, SF).where("kept").collect()}
     assert {r.doc_id for r in _docs(spark).where(quality.is_kept(F.col("text"))).collect()} == kept

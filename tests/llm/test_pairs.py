@@ -146,6 +146,12 @@ def test_decontamination(spark):
     assert any(r[-1] for r in got)
 
 
+def test_decontamination_by_sql(spark):
+    from oracle import differences, duck
+
+    assert differences(decontaminate.op10_benchmark_decontamination(spark, SF), duck(SF), decontaminate.OP10_SQL) == ""
+
+
 @pytest.mark.parametrize("shard_words", [12, 10_000])
 @pytest.mark.parametrize("window", [1, 3, 10])
 def test_automaton_finds_all_windows(spark, window, shard_words):
