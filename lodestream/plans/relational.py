@@ -14,7 +14,7 @@ RELATIONAL: dict[str, str | tuple[str, str]] = {
     "p15_vectorized_filter": "SELECT event_id, user_id FROM events WHERE user_id > 40",
     "p16_fused_filters": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 10 AND l_quantity < 30 AND l_discount > 0.03 AND l_returnflag = 'R'",
     "p17_column_scan": "SELECT l_orderkey, l_partkey FROM lineitem",
-    "p18_arith_expr": "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge, (l_quantity > 25 AND NOT l_discount > 0.05) AS flag FROM lineitem",
+    "p18_arith_expr": "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge, (l_quantity > 25 AND NOT l_discount > 0.05) AS flag FROM lineitem",
     "p19_selection_algebra": "SELECT event_id FROM events WHERE (user_id < 20 OR event_type = 'view') AND NOT (value > 80)",
     "p22_validity_counts": "SELECT sum(CASE WHEN n IS NULL THEN 1 ELSE 0 END) AS null_count, count(n) AS valid_count FROM (SELECT nullif(l_linenumber, 1) AS n FROM lineitem) t",
     "d01_distinct": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",

@@ -98,7 +98,7 @@ class Log:
         base = max(int(time.time() * 1000) << 16, last + 1)
         place = F.col("__before") + F.col("__row")
         folder = f"{head:020d}-{uuid.uuid4().hex}"
-        rows.join(F.broadcast(files), "__file").withColumn("lsn", head + place).withColumn("ts_hlc", base + place).select(*EPISODES.fieldNames()).write.parquet(f"{self.path}/data/{folder}")  # files: as many as tasks wrote
+        rows.join(files, "__file").withColumn("lsn", head + place).withColumn("ts_hlc", base + place).select(*EPISODES.fieldNames()).write.parquet(f"{self.path}/data/{folder}")
         self.fs.delete(self._at(staged), True)
         self._commit({"first": head, "n": n, "folder": folder, "last_hlc": base + n - 1})
         return head, n
