@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import base64
 import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WORD_BPE = "word_bpe_49k.json"
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 #: Words that a worker remembers; beyond, it starts anew.
 REMEMBERED = 200_000
 #: Words in one call of the tokenizer.
@@ -16,6 +17,9 @@ _JOINED = 4096
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)[.,;:!?#$%&*|<>/()\[\]{}+=@^~\\-]*").fullmatch
 #: Bytes of text that are split at once.
 _PIECE = 1 << 24
+#: Characters of a text that a byte-level encoder takes at once, and where it may be cut.
+_PART = 1 << 18
+_LONE_SPACE = re.compile(r"(?<=[^\s]) (?=[^\s])")
 
 
 class Encoder:
@@ -117,11 +121,49 @@ class Encoder:
         return ids, np.diff(bounds)
 
 
-_ENCODERS: dict[str | None, Encoder] = {}
+class ByteEncoder:
+    """ids(texts) of a tiktoken file: byte-level pieces, nothing normalised. No ids stand for special tokens."""
+
+    def __init__(self, path: str | None = None):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path or public_tokenizers.path(BYTE_BPE), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) as Encoder.encode() has them. Long texts go in parts cut before a lone space, where pieces end
+        too, so lists of Python numbers stay short."""
+        tail = np.zeros(0, np.int32) if end is None else np.array([end], np.int32)
+        out, sizes = [], [0]
+        for x in texts:
+            text, at, n = x.as_py() or "", 0, len(tail)
+            while at < len(text):
+                cut = _LONE_SPACE.search(text, at + _PART) if len(text) - at > _PART else None
+                to = cut.start() if cut else len(text)
+                ids = np.array(self.encoding.encode_ordinary(text[at:to] if at or cut else text), np.int32)
+                out.append(ids)
+                n += len(ids)
+                at = to
+            out.append(tail)
+            sizes.append(n)
+        return np.concatenate(out) if out else np.zeros(0, np.int32), np.cumsum(np.array(sizes, np.int64))
+
+
+_ENCODERS: dict[str | None, Encoder | ByteEncoder] = {}
 
 
 def encoder(path: str | None = None) -> Encoder:
-    """This worker's encoder for a tokenizer file."""
+    """This worker's encoder for a tokenizers file."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def byte_encoder(path: str | None = None) -> ByteEncoder:
+    """This worker's encoder for a tiktoken file."""
+    key = f"tiktoken:{path}"
+    if key not in _ENCODERS:
+        _ENCODERS[key] = ByteEncoder(path)
+    return _ENCODERS[key]
