@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.common import Written, table, tidy
 
-#: Rounds of ordering, one for each link of the longest chain of calls, before what is left counts as a cycle.
-MOST_LINKS = 200
-
 
 def canonical(value) -> str:
     """JSON with sorted keys, no spaces, whole numbers without a point and characters as they are."""
@@ -139,9 +136,8 @@ def _linked(rows: DataFrame) -> DataFrame | None:
     )
     placed = Written(some.join(edges.select(F.col("b").alias("mid")).distinct(), "mid", "left_anti").select("mid", F.col("turn").alias("at"), F.lit(0).alias("level")), "placed").df
     left = Written(some.join(placed, "mid", "left_anti").select("mid", "turn"), "left").df
-    for level in range(1, MOST_LINKS):
-        if left.isEmpty():
-            break
+    level = 1
+    while not left.isEmpty():
         before = edges.join(placed, F.col("a") == F.col("mid"), "left").groupBy("b").agg(F.max("at").alias("at"), F.count(F.when(F.col("mid").isNull(), 1)).alias("open"))
         ready = left.join(before.where("open = 0"), F.col("mid") == F.col("b")).select("mid", F.greatest("turn", "at").alias("at"), F.lit(level).alias("level"))
         ready = Written(ready, "ready").df
@@ -149,7 +145,9 @@ def _linked(rows: DataFrame) -> DataFrame | None:
             break
         placed = Written(placed.unionByName(ready), "placed").df
         left = Written(left.join(ready, "mid", "left_anti"), "left").df
-    cycles = left.select("mid", F.col("turn").alias("at"), F.lit(MOST_LINKS).alias("level"), F.lit("cycle").alias("cycle"))
+        level += 1
+    # No message became ready: what is left waits for itself.
+    cycles = left.select("mid", F.col("turn").alias("at"), F.lit(level).alias("level"), F.lit("cycle").alias("cycle"))
     out = placed.withColumn("cycle", F.lit(None).cast("string")).unionByName(cycles).join(faults, "mid", "left")
     return out.select("mid", "at", "level", F.coalesce("cycle", "fault").alias("fault"))
 

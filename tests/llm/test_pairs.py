@@ -247,3 +247,16 @@ def test_canonical_json():
     assert not chat.fits(True, {"type": "integer"})
     assert chat.fits(2.0, {"type": "integer"})
     assert not chat.fits({"a": 1, "b": 2}, {"type": "object", "properties": {"a": {}}, "additionalProperties": False})
+
+
+def test_a_long_chain_of_calls_is_no_cycle(spark):
+    """101 calls, each of which asks for the result before, all in one turn: ordered by what they need."""
+    said = []
+    for i in range(101):
+        args = {"x": {"$result": f"c{i - 1}"}} if i else {}
+        said.append((1, 0, "assistant", json.dumps({"tool_calls": [{"id": f"c{i}", "function": {"name": "f", "arguments": args}}]})))
+        said.append((1, 0, "tool", json.dumps({"tool_call_id": f"c{i}", "content": "ok"})))
+    got = sorted(chat.format_chats(spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string"), {"f": {}}).collect(), key=lambda r: r.position)
+    assert {r.wrong for r in got} == {None}
+    order = [(lambda b: b["tool_calls"][0]["id"] if "tool_calls" in b else b["tool_call_id"])(json.loads(r.json)) for r in got]
+    assert order == [f"c{i}" for i in range(101) for _ in range(2)]
