@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import table, written
+from lodestream.llm.common import let, table, written
 
 #: Distinct sites that make a line boilerplate; the sketch's lg k, and how far (in shares of the threshold) an estimate
 #: may be off: with lg k = 9 the standard error is under 4.6 %, so a quarter is over five of them.
 SITES, LG_K, MARGIN = 3, 9, 0.25
+#: A line is common if more than one in so many lines is like it: there are fewer such lines than this.
+COMMON = 1000
 
 
 def line_key(line: Column) -> Column:
@@ -34,26 +36,37 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit("row"), F.col(text), F.col(doc_id)).alias("b"))
 
 
-def boilerplate(flat: DataFrame, sites: int = SITES, lg_k: int = LG_K, margin: float = MARGIN) -> DataFrame:
-    """a, b, first_id, first_pos of the lines that `sites` distinct sites have, or more; where they first stand.
+def _meet(flat: DataFrame, found: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """flat joined with lines found (a, b, times). A line on more than one row in COMMON of the total is one of fewer than
+    COMMON such lines, so these are broadcast and their rows stay where they are; no partition gets all rows of one."""
+    common = F.col("times") * COMMON > total
+    hot = flat.join(F.broadcast(found.where(common).drop("times")), ["a", "b"], how)
+    return hot.unionByName(flat.join(found.where(~common).drop("times"), ["a", "b"], how))
+
+
+def boilerplate(flat: DataFrame, sites: int = SITES, lg_k: int = LG_K, margin: float = MARGIN) -> tuple[DataFrame, int]:
+    """a, b, times, first_id, first_pos of the lines that `sites` distinct sites have, or more: how often they stand and
+    where first. And the number of lines of flat, rounded up.
 
     Sketches are built before the shuffle and merged after it, so a line on all pages is a row per task. An estimate
     further from the threshold than the margin decides; the lines nearer to it, few, are counted exactly. A null site
     is no site. Lines of fewer occurrences than sites need no sketch.
     """
     often = flat.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("times"),
         F.count("site").alias("n"),
         F.hll_sketch_agg("site", lg_k).alias("sketch"),
         F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("pos"))).alias("first"),
     )
-    spread = often.where(F.col("n") >= sites).select("a", "b", F.hll_sketch_estimate("sketch").alias("estimate"), F.col("first.doc_id").alias("first_id"), F.col("first.pos").alias("first_pos"))
+    spread = often.where(F.col("n") >= sites).select("a", "b", "times", F.hll_sketch_estimate("sketch").alias("estimate"), F.col("first.doc_id").alias("first_id"), F.col("first.pos").alias("first_pos"))
     spread = written(spread, "spread")
+    total = flat.count()
     near = F.col("estimate").between(sites * (1 - margin) - 1, sites * (1 + margin) + 1)
-    sure = spread.where((F.col("estimate") >= sites) & ~near).select("a", "b", "first_id", "first_pos")
-    unsure = spread.where(near).select("a", "b", "first_id", "first_pos")
-    pairs = flat.where("site IS NOT NULL").join(unsure.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", "site").distinct()
+    sure = spread.where((F.col("estimate") >= sites) & ~near).drop("estimate")
+    unsure = spread.where(near).drop("estimate")
+    pairs = _meet(flat.where("site IS NOT NULL").select("a", "b", "site"), unsure.select("a", "b", "times"), total, "left_semi").distinct()
     exact = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites).select("a", "b")
-    return sure.unionByName(unsure.join(exact, ["a", "b"], "left_semi"))
+    return sure.unionByName(unsure.join(exact, ["a", "b"], "left_semi")), total
 
 
 def dedup_lines(docs: DataFrame, sites: int = SITES, text: str = "text", site: str = "source", doc_id: str = "doc_id", removed: str | None = None) -> DataFrame:
@@ -64,17 +77,18 @@ def dedup_lines(docs: DataFrame, sites: int = SITES, text: str = "text", site: s
     treated alike, rows with a null doc_id come after all others. Lines without a word never go.
     """
     flat = written(lines(docs, text, site, doc_id), "lines")
-    found = boilerplate(flat, sites)
+    found, total = boilerplate(flat, sites)
     first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))
-    out = flat.join(found, ["a", "b"]).where(~first).groupBy("row").agg(F.collect_set("pos").alias("__gone"))
+    out = _meet(flat.select("a", "b", "row", "doc_id", "pos"), found, total).where(~first).groupBy("row").agg(F.collect_set("pos").alias("__gone"))
     rows = docs.withColumn("__row", row_key(doc_id, text)).join(out.withColumnRenamed("row", "__row"), "__row", "left")
-    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__gone", i))
-    new = {text: F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text))}
+    # The lines that stay, by their places: a set difference, whatever the number of lines and of those that go.
+    rest = let(F.split(text, "\n", -1), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone")), lambda i: F.get(x, i)), "\n"))
+    changed = F.col("__gone").isNotNull()
+    rows = rows.withColumn(text, F.when(changed, rest).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__gone").isNotNull(), F.char_length(F.array_join(kept, "\n")).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    if removed:
-        new[removed] = F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint")
-    return rows.select(*(new.pop(c, F.col(c)).alias(c) for c in docs.columns), *(v.alias(k) for k, v in new.items()))
+        rows = rows.withColumn("n_chars", F.when(changed, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    own = [c for c in docs.columns if c != removed]
+    return rows.select(*own, *([F.when(changed, F.size("__gone")).otherwise(0).cast("bigint").alias(removed)] if removed else []))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

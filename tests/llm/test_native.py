@@ -124,6 +124,13 @@ def test_lines_near_the_threshold(spark, sites):
     assert sorted((r.doc_id, r.text) for r in linededup.dedup_lines(df, sites).collect()) == sorted(by_hand(rows, sites))
 
 
+def test_common_lines(spark):
+    """A line on a third of all rows, one just below what counts as common, and lines on few rows."""
+    rows = [(i, f"site{i % 7}", ("everywhere\n" if i % 3 == 0 else "") + ("rare\n" if i in (5, 50, 501) else "") + f"own {i}\nother {i // 2}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    assert sorted((r.doc_id, r.text) for r in linededup.dedup_lines(df).collect()) == sorted(by_hand(rows))
+
+
 def test_lines_of_odd_rows(spark):
     docs = odd_docs(spark)
     got = linededup.dedup_lines(docs, removed="n_removed").collect()
