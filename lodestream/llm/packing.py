@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
         from lodestream.llm.tokens import encoder
 
         e = encoder(tokenizer)
-        for b in small(batches, 1, 2 << 20):
+        for b in small(batches, 1, 4 << 20):
             ids, off = e.encode(b.column(1), end)
             sizes = np.diff(off)
             n = -(-sizes // capacity)

@@ -37,7 +37,7 @@ def encoded(docs: DataFrame, keep: list[str], text: str = "text", end: int | Non
         from lodestream.llm.tokens import encoder
 
         e = encoder(tokenizer)
-        for b in small(batches, len(keep), 2 << 20):
+        for b in small(batches, len(keep), 4 << 20):
             ids, offsets = e.encode(b.column(len(keep)), end)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], names=[*keep, "ids"])
 

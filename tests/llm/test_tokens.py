@@ -37,6 +37,19 @@ def test_encoder(plain):
     assert e.encode(pa.array([], pa.string()))[1].tolist() == [0]
 
 
+ODD = ["a", "B", "é", "É", "×", "÷", "'s", "'", "'ll", "12", " ", "\n", "\t", "\x0b", "\x85", "\xa0", "\u3000", "...", "***", "<|endoftext|>", "<|", "|>", "<", "|", "\u0301", "ß", "ẞ", "İ", "Σ", "ΑΣ", "日本", "😀", "\x00", "\x1c", "\x7f", "½", "ª", "µ", "À", "Þ", "ÿ", "ﬁ", "-_", "<|ENDOFTEXT|>", "the", "\ufeff"]
+
+
+@pytest.mark.parametrize("block", [1 << 22, 7, 64])
+def test_encoder_of_odd_texts(plain, monkeypatch, block):
+    monkeypatch.setattr(tokens, "_PIECE", block)
+    e, rng = tokens.Encoder(), np.random.default_rng(block)
+    for _ in range(100):
+        texts = ["".join(rng.choice(ODD, rng.integers(0, 30))) for _ in range(rng.integers(0, 9))]
+        ids, off = e.encode(pa.array(texts, pa.string()), 7)
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [[*plain(t), 7] for t in texts]
+
+
 def test_encoder_of_the_tables(plain):
     for sf in ("sf0.001", "sf0.01"):
         texts = pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"]).column(0).combine_chunks()
@@ -48,8 +61,9 @@ def test_encoder_of_the_tables(plain):
 def test_encoder_forgets(plain, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
     e = tokens.Encoder()
-    for t in ("one two three four five", "six one two", "one seven"):
+    for t in ("one two three four five", "six one two", "one seven", "eight's one, two", "nine one ten", "one two nine"):
         assert e.encode(pa.array([t]))[0].tolist() == plain(t)
+    assert b"one" in e.known and len(e.known) == e.n < 9
 
 
 def test_byte_encoder_cuts_where_pieces_end(monkeypatch):
