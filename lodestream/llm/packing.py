@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from lodestream.llm.common import Written, small, table, tidy
 
 CAPACITY, SEPARATOR_ID = 2048, 0
+#: Islands that a task evolves, about.
+ISLANDS = 8
 
 
 @dataclass(frozen=True)
@@ -24,8 +27,8 @@ class Evolution:
     are packed again in later levels, together with other blocks' ones."""
 
     islands: int = 2
-    population: int = 6
-    generations: int = 8
+    population: int = 8
+    generations: int = 30
     epochs: int = 2
     elite: int = 2
     block: int = 2048
@@ -110,15 +113,39 @@ def score(bins: Bins) -> tuple[int, int]:
     return len(bins.fill), -sum(f * f for f in bins.fill)
 
 
+def trade(bins: list[list[int]], displaced: list[int], sizes: list[int], capacity: int) -> list[int]:
+    """Bins get one larger displaced item for one or two of theirs, where it fits; the displaced items after that, which
+    are as many or more, but smaller and so easier to place."""
+    free = sorted((sizes[i], i) for i in displaced)
+    for m in bins:
+        room = capacity - sum(sizes[i] for i in m)
+        if not room or not free:
+            continue
+        best = (0, 0, ())
+        for k, i in enumerate(m):
+            for go in ((i,), *((i, j) for j in m[k + 1 : k + 4])):
+                held = sum(sizes[x] for x in go)
+                at = bisect(free, (held + room, len(sizes))) - 1
+                if at >= 0 and free[at][0] - held > best[0]:
+                    best = (free[at][0] - held, at, go)
+        if best[0]:
+            m.append(free.pop(best[1])[1])
+            for x in best[2]:
+                m.remove(x)
+                insort(free, (sizes[x], x))
+    return [i for _, i in free]
+
+
 def crossover(into: Bins, donor: Bins, sizes: list[int], rng: np.random.Generator) -> Bins:
     """Whole well-filled bins of donor are injected; bins of `into` with the same items are broken up; what they held
-    besides is best-fitted, largest first. A few of the emptiest bins are broken up too, as mutation."""
+    besides is best-fitted, largest first, after trade() has made it smaller. A few of the emptiest bins are broken up
+    too, as mutation."""
     level = sorted(donor.fill)[len(donor.fill) // 2]
     well = [b for b, f in enumerate(donor.fill) if f >= level]
     chosen = [well[i] for i in np.flatnonzero(rng.random(len(well)) < 0.5)] or well[:1]
-    out, injected = Bins(into.capacity), set()
+    kept, injected = [], set()
     for b in chosen:
-        out.add(list(donor.members[b]), donor.fill[b])
+        kept.append(list(donor.members[b]))
         injected.update(donor.members[b])
     emptiest = sorted(into.fill)[min(len(into.fill) - 1, int(rng.integers(1, 4)))]
     displaced = []
@@ -126,7 +153,11 @@ def crossover(into: Bins, donor: Bins, sizes: list[int], rng: np.random.Generato
         if f <= emptiest or not injected.isdisjoint(m):
             displaced += [i for i in m if i not in injected]
         else:
-            out.add(list(m), f)
+            kept.append(list(m))
+    displaced = trade(kept, displaced, sizes, into.capacity)
+    out = Bins(into.capacity)
+    for m in kept:
+        out.add(m, sum(sizes[i] for i in m))
     noise = rng.random(len(displaced)) * 0.05
     for k in sorted(range(len(displaced)), key=lambda k: -sizes[displaced[k]] * (1 + noise[k])):
         out.best_fit(displaced[k], sizes[displaced[k]])
@@ -182,10 +213,11 @@ def _epoch(islands: DataFrame, epoch: int, level: int, how: Evolution, capacity:
     return islands.mapInArrow(tidy(run), _ISLAND)
 
 
-def _solve(blocks: DataFrame, level: int, how: Evolution, capacity: int) -> DataFrame:
+def _solve(blocks: DataFrame, n: int, level: int, how: Evolution, capacity: int) -> DataFrame:
     """block and bins (a bin number per item): the best packing of any island of the block."""
     islands = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(how.islands - 1))).alias("island"), F.transform("items", lambda x: x["length"].cast("int")).alias("sizes"), F.expr("cast(array() as array<array<int>>)").alias("elites"))
-    islands = _epoch(islands.repartition("block", "island"), 0, level, how, capacity)
+    # By number, as few bytes are much work here: a task has ISLANDS islands.
+    islands = _epoch(islands.repartition(max(1, -(-n * how.islands // ISLANDS)), "block", "island"), 0, level, how, capacity)
     for e in range(1, how.epochs):
         islands = Written(islands, "islands").df
         moved = islands.select("block", F.pmod(F.col("island") + 1, F.lit(how.islands)).alias("island"), F.lit(None).cast("array<int>").alias("sizes"), "elites")
@@ -215,7 +247,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, how: Evolution = Evolution(
         last = blocks_n == 1 or level == how.levels - 1
         dealt = left.select(F.pmod(F.xxhash64(serial, F.lit(level)), F.lit(blocks_n)).alias("block"), F.struct(*columns).alias("x"))
         blocks = Written(dealt.groupBy("block").agg(F.collect_list("x").alias("items")), "blocks").df
-        solved = blocks.join(_solve(blocks, level, how, capacity), "block")
+        solved = blocks.join(_solve(blocks, blocks_n, level, how, capacity), "block")
         placed = Written(_placed(solved, columns, level, 2.0 if last else how.full, capacity), "placed").df
         done.append(placed.where("NOT __again").select(*columns, "sequence_id", "offset"))
         left = placed.where("__again").select(*columns)

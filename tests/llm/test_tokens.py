@@ -175,9 +175,26 @@ def test_crossover_keeps_every_item():
     assert all(sum(sizes[i] for i in m) == f <= 2048 for m, f in zip(child.members, child.fill, strict=True))
 
 
-def test_evolution_does_not_lose_to_first_fit():
-    rng = np.random.default_rng(2)
-    sizes = [int(x) for x in rng.integers(300, 1100, 300)]
-    first = packing.packed(sizes, sorted(range(300), key=lambda i: -sizes[i]), 2048)
-    best = packing.evolve(sizes, [], [1, 2], packing.Evolution(), 2048)[0]
-    assert len(set(best)) <= len(first.fill)
+@pytest.mark.parametrize(("least", "most", "saved"), [(500, 1200, 0.6), (300, 1100, 0.4), (100, 700, 0.3)])
+def test_evolution_beats_best_fit(least, most, saved):
+    """Where best fit is above the bound, evolution takes away that share of what it wastes at least."""
+    rng, how = np.random.default_rng(5), packing.Evolution()
+    sizes = [int(x) for x in rng.integers(least, most, 2048)]
+    bound = -(-sum(sizes) // 2048)
+    best_fit = len(packing.packed(sizes, sorted(range(2048), key=lambda i: -sizes[i]), 2048).fill)
+    first = [packing.evolve(sizes, [], [1, i, 0, 0], how, 2048) for i in range(how.islands)]
+    best = packing.evolve(sizes, [e for x in first for e in x], [1, 0, 1, 0], how, 2048)[0]
+    fill = np.bincount(best, sizes)
+    assert fill.max() <= 2048 and fill.sum() == sum(sizes)
+    assert best_fit - len(fill) >= saved * (best_fit - bound)
+
+
+def test_trade_keeps_every_item():
+    sizes = [int(x) for x in np.random.default_rng(4).integers(1, 900, 60)]
+    bins = [[3 * i, 3 * i + 1] for i in range(20)]
+    bins = [m for m in bins if sum(sizes[i] for i in m) <= 2048]
+    free = sorted(set(range(60)) - {i for m in bins for i in m})
+    before = sum(sizes[i] for i in free)
+    after = packing.trade(bins, free, sizes, 2048)
+    assert sorted([*after, *(i for m in bins for i in m)]) == list(range(60))
+    assert all(sum(sizes[i] for i in m) <= 2048 for m in bins) and sum(sizes[i] for i in after) < before
