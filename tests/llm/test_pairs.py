@@ -260,3 +260,88 @@ def test_a_long_chain_of_calls_is_no_cycle(spark):
     assert {r.wrong for r in got} == {None}
     order = [(lambda b: b["tool_calls"][0]["id"] if "tool_calls" in b else b["tool_call_id"])(json.loads(r.json)) for r in got]
     assert order == [f"c{i}" for i in range(101) for _ in range(2)]
+
+
+def by_rounds(rows, known):
+    """(conv, turn, role, n_calls, wrong, json) in order, from (conv, turn, role, body) by the definition."""
+    out = []
+    for conv in {r[0] for r in rows}:
+        said = [r for r in rows if r[0] == conv]
+        first, result, times = {}, {}, collections.Counter()
+        late = lambda i: (said[i][1] is None, said[i][1] or 0, i)
+        for i in sorted(range(len(said)), key=late):
+            for c in said[i][3].get("tool_calls", []):
+                first.setdefault(c["id"], i)
+                times[c["id"]] += 1
+            if "tool_call_id" in said[i][3]:
+                result.setdefault(said[i][3]["tool_call_id"], i)
+        before, wrong = collections.defaultdict(set), collections.defaultdict(list)
+        for i, (_, _, _, body) in enumerate(said):
+            if "tool_call_id" in body:
+                if body["tool_call_id"] in first:
+                    before[i].add(first[body["tool_call_id"]])
+                else:
+                    wrong[i].append("result without call")
+            for c in body.get("tool_calls", []):
+                for v in c["function"]["arguments"].values():
+                    if v["$result"] in result:
+                        before[i].add(result[v["$result"]])
+                    else:
+                        wrong[i].append("missing result")
+        for c, i in first.items():
+            wrong[i] += ["call without result"] * (c not in result) + ["repeated identifier"] * (times[c] > 1)
+        at, level = {}, {}
+        while True:
+            ready = [i for i in range(len(said)) if i not in at and before[i] <= set(at)]
+            if not ready:
+                break
+            new = {i: (max((x for x in (said[i][1], *(at[b] for b in before[i])) if x is not None), default=None), 1 + max((level[b] for b in before[i]), default=-1)) for i in ready}
+            for i, (a, k) in new.items():
+                at[i], level[i] = a, k
+        for i, (_, turn, role, body) in enumerate(said):
+            unknown = "unknown tool" if any(c["function"]["name"] not in known for c in body.get("tool_calls", [])) else None
+            fault = min(wrong[i], default=None) if i in at else "cycle"
+            calls = [{"id": c["id"], "type": "function", "function": {"name": c["function"]["name"], "arguments": chat.canonical(c["function"]["arguments"])}} for c in body.get("tool_calls", [])]
+            text = chat.canonical({"role": role, "content": None, "tool_calls": calls} if calls else {"role": role, "tool_call_id": body["tool_call_id"], "content": None})
+            a, k = (at[i], level[i]) if i in at else (turn, 1 << 30)
+            out.append(((conv is None, conv or 0, a is None, a or 0, k, turn is None, turn or 0, role, text), (conv, turn, role, len(calls), unknown or fault, text)))
+    return [x for _, x in sorted(out, key=lambda x: x[0])]
+
+
+@pytest.mark.parametrize("most_alone", [chat.MOST_ALONE, 3])
+def test_random_conversations(spark, most_alone):
+    """Chains, shared and missing results, repeated identifiers, cycles, 1 beside "1", null turns and conversations."""
+    import random
+
+    rng, rows = random.Random(11), []
+    for conv in (1, 2, 3, 4, None):
+        ids = [*range(1, 7), *"123456"]
+        for _ in range(20):
+            turn = rng.choice([None, *range(12)])
+            if rng.random() < 0.5:
+                rows.append((conv, turn, "tool", {"tool_call_id": rng.choice(ids)}))
+            else:
+                calls = [{"id": rng.choice(ids), "function": {"name": rng.choice("ffffg"), "arguments": {f"a{k}": {"$result": rng.choice(ids)} for k in range(rng.choice([0, 0, 1, 2]))}}} for _ in range(rng.choice([1, 1, 2]))]
+                rows.append((conv, turn, "assistant", {"tool_calls": calls}))
+    # Rows that stand at the same place in all but their order would be told apart by chance: one of each.
+    rows = list({json.dumps(r): r for r in rows}.values())
+    df = spark.createDataFrame([(c, t, r, json.dumps(b)) for c, t, r, b in rows], "conv_id bigint, turn int, role string, text string").coalesce(1)
+    got = sorted(chat.format_chats(df, {"f": {}}, most_alone).collect(), key=lambda r: (r.conv_id is None, r.conv_id or 0, r.position))
+    assert [(r.conv_id, r.turn, r.role, r.n_calls, r.wrong, r.json) for r in got] == by_rounds(rows, {"f"})
+    assert {r.wrong for r in got} >= {"cycle", "missing result", "repeated identifier", "result without call", "call without result"}
+
+
+def test_a_chain_of_500_calls(spark):
+    nodes, edges = [(i, 0) for i in range(1000)], [(i, i + 1) for i in range(999)]
+    assert chat.levels(nodes, edges) == [(i, 0, i) for i in range(1000)]
+    assert {k for _, _, k in chat.levels([(1, 0), (2, 0), (3, 0)], [(1, 1), (2, 3)])} == {chat.CYCLE, 0, 1}
+
+
+def test_schemas():
+    ok = [({"const": 1}, 1, 1.5), ({"anyOf": [{"type": "string"}, {"minimum": 3}]}, 4, 2), ({"oneOf": [{"minimum": 3}, {"maximum": 5}]}, 7, 4), ({"pattern": "^a"}, "ab", "b"), ({"maxLength": 2}, "é😀", "abc"), ({"items": {"type": "integer"}, "minItems": 1}, [1], ["x"]), ({"not": {"type": "null"}}, 1, None), ({"enum": [1]}, 1.0, True), ({"exclusiveMinimum": 1, "multipleOf": 2}, 2, 1), ({"additionalProperties": {"type": "string"}}, {"a": "b"}, {"a": 1})]
+    for schema, good, bad in ok:
+        chat.checked(schema)
+        assert chat.fits(good, schema) and not chat.fits(bad, schema), schema
+    for schema in ({"$ref": "#/a"}, {"type": "whole"}, {"properties": {"a": {"if": {}}}}):
+        with pytest.raises(ValueError):
+            chat.checked(schema)
