@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import table, tidy
+from lodestream.llm.common import Written, table, tidy
 
 #: Words of a window, and words of items in one automaton at most (about 1 KB of Python objects a word).
 WINDOW, SHARD_WORDS = 10, 200_000
@@ -138,16 +139,20 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _shards(items: DataFrame, item_id: str, text: str, shard_words: int) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """The items in blocks of bounded size, one block in the driver at a time."""
+def _shards(items: DataFrame, item_id: str, text: str, shard_words: int, window: int) -> Iterator[list[tuple[object, list[bytes]]]]:
+    """The items in blocks of bounded size, one block in the driver at a time. A longer item is in more blocks than one,
+    in parts that overlap by all but one word of a window, so each of its windows is in one part at least."""
     block, size = [], 0
+    most = max(shard_words, 2 * window)
     for name, t in items.select(item_id, text).toLocalIterator():
-        w = words_of(t)
-        if block and size + len(w) > shard_words:
-            yield block
-            block, size = [], 0
-        block.append((name, w))
-        size += len(w)
+        words = words_of(t)
+        for at in range(0, max(1, len(words) - window + 1), most - window + 1):
+            w = words[at : at + most]
+            if block and size + len(w) > most:
+                yield block
+                block, size = [], 0
+            block.append((name, w))
+            size += len(w)
     yield block
 
 
@@ -158,16 +163,44 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: st
     """docs with __n_words, __spans (merged hit words, from start up to end) and __items (their ids as strings).
 
     A null text has no words, an item without words no window, an item without id counts as 'null'. Repeated rows and
-    items each count. Items go to the executors in blocks of shard_words words; each block is one more pass over the rows
-    of docs, within the same stage, so no automaton outgrows memory and docs are never shuffled.
+    items each count. Columns of docs with one of these names are replaced. Items go to the executors in blocks of
+    shard_words words. One block, the usual case, is one pass over docs without a shuffle. More blocks are passes one
+    after the other, each in a job of its own that writes the rows it hits, so that a worker holds one automaton at a time
+    and the driver one block; rows then meet what was written by 128 bits of their text.
     """
-    out, sc = docs, docs.sparkSession.sparkContext
-    first = True
-    for block in _shards(items, item_id, item_text, shard_words):
-        sent = sc.broadcast([(n, b" ".join(w)) for n, w in block])
-        out = out.mapInArrow(tidy(_scanner(sent, text, window, first)), f"{_ddl(docs)}, {HITS}")
-        first = False
-    return out
+    own = [c for c in docs.columns if c not in ("__n_words", "__spans", "__items")]
+    docs = docs.select(*own)
+    blocks = _shards(items, item_id, item_text, shard_words, window)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        return docs.mapInArrow(tidy(_scanner(docs, block, text, window)), f"{_ddl(docs)}, {HITS}")
+    texts = docs.select(F.col(text).alias("__text"))
+    parts = []
+    while block is not None:
+        found = texts.mapInArrow(tidy(_scanner(texts, block, "__text", window)), f"{_ddl(texts)}, {HITS}")
+        parts.append(Written(found.where(F.size("__spans") > 0).select(*_key("__text"), "__spans", "__items").distinct(), "hits").df)
+        block, after = after, next(blocks, None)
+    met = reduce(DataFrame.unionByName, parts).groupBy("__a", "__b").agg(F.flatten(F.collect_list("__spans")).alias("__s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__i"))
+    none = docs.mapInArrow(tidy(_scanner(docs, [], text, window)), f"{_ddl(docs)}, {HITS}").drop("__spans", "__items")
+    rows = none.select("*", *_key(text)).join(met, ["__a", "__b"], "left")
+    spans, names = HITS.split(", ")[1].split(" ")[1], "array<string>"
+
+    @F.pandas_udf(spans)
+    def merged(s):
+        import pandas as pd
+
+        return pd.Series([[{"start": a, "end": z} for a, z in merge([(y["start"], y["end"]) for y in x])] for x in s])
+
+    return rows.select(
+        *own,
+        "__n_words",
+        F.when(F.col("__s").isNull(), F.expr(f"cast(array() as {spans})")).otherwise(merged(F.coalesce("__s", F.expr(f"cast(array() as {spans})")))).alias("__spans"),
+        F.coalesce("__i", F.expr(f"cast(array() as {names})")).alias("__items"),
+    )
+
+
+def _key(text: str) -> tuple[F.Column, F.Column]:
+    return F.xxhash64(text).alias("__a"), F.xxhash64(F.lit("hits"), F.col(text)).alias("__b")
 
 
 def _ddl(docs: DataFrame) -> str:
@@ -177,8 +210,8 @@ def _ddl(docs: DataFrame) -> str:
 _BUILT: dict[str, Automaton] = {}
 
 
-def _scanner(sent, text: str, window: int, first: bool):
-    key = uuid.uuid4().hex
+def _scanner(docs: DataFrame, block: list[tuple[object, list[bytes]]], text: str, window: int):
+    key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast([(n, b" ".join(w)) for n, w in block])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lodestream.llm import decontaminate as here
@@ -189,27 +222,14 @@ def _scanner(sent, text: str, window: int, first: bool):
         automaton = here._BUILT[key]
         for b in batches:
             counts, spans, names = [], [], []
-            at = {n: i for i, n in enumerate(b.schema.names)}
-            for i, x in enumerate(b.column(at[text])):
+            for x in b.column(b.schema.names.index(text)):
                 words = here.words_of(x.as_py())
                 got, found = automaton.hits(words)
-                found = {str(n) if n is not None else "null" for n in found}
-                if not first:
-                    got = here.merge([*got, *((s["start"], s["end"]) for s in b.column(at["__spans"])[i].as_py())])
-                    found |= set(b.column(at["__items"])[i].as_py())
                 counts.append(len(words))
                 spans.append([{"start": a, "end": z} for a, z in got])
-                names.append(sorted(found))
-            kept = [i for n, i in at.items() if n not in ("__n_words", "__spans", "__items")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(b.column(i) for i in kept),
-                    pa.array(counts, pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array(names, pa.list_(pa.string())),
-                ],
-                names=[*(b.schema.names[i] for i in kept), "__n_words", "__spans", "__items"],
-            )
+                names.append(sorted({str(n) if n is not None else "null" for n in found}))
+            out = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(names, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *out], names=[*b.schema.names, "__n_words", "__spans", "__items"])
 
     return run
 

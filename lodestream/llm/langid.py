@@ -10,21 +10,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import table, tidy
+from lodestream.llm.common import Written, table, tidy
 
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """n-gram lengths; log2 of the filter's slots; hashes of an n-gram; languages at most (the most frequent ones, as
-    each is a bit of a slot); the share of a language's n-grams that one needs to be in its filter, so that a few
-    mislabelled texts don't put theirs there."""
+    """n-gram lengths; log2 of the filter's slots; hashes of an n-gram; the share of a language's n-grams that one needs
+    to be in its filter, so that a few mislabelled texts don't put theirs there."""
 
     sizes: tuple[int, ...] = (2, 3)
     bits: int = 17
     hashes: int = 2
-    most_languages: int = 64
     least_share: float = 2e-5
 
 
@@ -88,18 +86,20 @@ def _counts(rows: DataFrame, languages: list[str], how: Settings) -> DataFrame:
 
 
 class Filters:
-    """masks[k, slot]: a bit per language that has an n-gram there for hash k. An n-gram's languages are the AND of its
-    slots; a language's false positive rate is the product over k of the share of slots that it has set."""
+    """masks[word, k, slot]: a bit per language that has an n-gram there for hash k, 64 languages to a word. An n-gram's
+    languages are the AND of its slots; a language's false positive rate is the product over k of the share of slots
+    that it has set."""
 
     def __init__(self, languages: list[str], masks: np.ndarray, how: Settings):
         self.languages, self.masks, self.how = languages, masks, how
-        bits = [((masks >> np.uint64(i)) & np.uint64(1)).mean(axis=1) for i in range(len(languages))]
+        bits = [((masks[i >> 6] >> np.uint64(i & 63)) & np.uint64(1)).mean(axis=1) for i in range(len(languages))]
         self.wrong = np.array([b.prod() for b in bits]) if languages else np.zeros(0)
 
-    def languages_of(self, slots: np.ndarray) -> np.ndarray:
-        found = self.masks[0][slots[0]]
+    def languages_of(self, slots: np.ndarray, word: int = 0) -> np.ndarray:
+        """The languages 64 * word to 64 * word + 63 of each n-gram, as bits."""
+        found = self.masks[word, 0][slots[0]]
         for k in range(1, len(slots)):
-            found = found & self.masks[k][slots[k]]
+            found = found & self.masks[word, k][slots[k]]
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -108,11 +108,11 @@ class Filters:
             return UNKNOWN, 0.0
         hits, n = np.zeros(len(self.languages)), 0
         for g in _grams(text, self.how):
-            found = self.languages_of(g)
-            n += len(found)
-            by_mask, count = np.unique(found, return_counts=True)
-            for i in range(len(self.languages)):
-                hits[i] += count[(by_mask >> np.uint64(i)) & np.uint64(1) == 1].sum()
+            n += g.shape[1]
+            for word in range(len(self.masks)):
+                by_mask, count = np.unique(self.languages_of(g, word), return_counts=True)
+                for i in range(64 * word, min(64 * word + 64, len(self.languages))):
+                    hits[i] += count[(by_mask >> np.uint64(i & 63)) & np.uint64(1) == 1].sum()
         if not n or not any(c.isalpha() for c in text):
             return UNKNOWN, 0.0
         right = np.clip((hits - n * self.wrong) / np.maximum(n * (1 - self.wrong), 1e-9), 0, 1)
@@ -121,20 +121,19 @@ class Filters:
 
 
 def train(docs: DataFrame, how: Settings = Settings()) -> Filters:  # noqa: B008
-    """Filters from all rows of docs with text and lang. What comes to the driver is bounded by Settings: a count for
-    each language and slot. No such row: no language."""
+    """Filters from all rows of docs with text and lang, whatever the number of languages. What comes to the driver is the
+    filters themselves: a word for each slot and 64 languages. No such row: no language."""
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL")
-    languages = sorted(r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(how.most_languages).collect())
-    if len(languages) > 64:
-        raise ValueError("a slot has 64 bits")
-    masks = np.zeros((how.hashes, 1 << how.bits), np.uint64)
+    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    masks = np.zeros((-(-len(languages) // 64), how.hashes, 1 << how.bits), np.uint64)
     if languages:
-        counts = _counts(rows, languages, how)
-        table_ = counts.toArrow()
-        lang, slot, n = (table_.column(i).to_numpy() for i in range(3))
-        totals = np.bincount(lang, n, len(languages)) / how.hashes
-        set_ = n >= np.maximum(1, totals[lang] * how.least_share)
-        np.bitwise_or.at(masks.reshape(-1), slot[set_], np.uint64(1) << lang[set_].astype(np.uint64))
+        counts = Written(_counts(rows, languages, how), "slot-counts").df
+        least = counts.groupBy("lang").agg((F.sum("n") / how.hashes * how.least_share).alias("least"))  # a row a language, as the driver has them
+        set_ = counts.join(F.broadcast(least), "lang").where(F.col("n") >= F.greatest(F.lit(1.0), "least"))
+        bit = F.expr("shiftleft(1L, lang & 63)")
+        got = set_.groupBy(F.shiftright("lang", 6).alias("word"), "slot").agg(F.bit_or(bit).alias("bits")).toArrow()
+        word, slot, bits = (got.column(i).to_numpy() for i in range(3))
+        masks.reshape(len(masks), -1)[word, slot] = bits.view(np.uint64)
     return Filters(languages, masks, how)
 
 

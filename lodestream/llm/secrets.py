@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import table
+from lodestream.llm.common import let, table
 from lodestream.llm.trigram import ANY, trigram_query
 
 
@@ -84,13 +84,22 @@ def _spans(text: Column, rule: Rule, index: int) -> Column:
     )
     empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["size"], F.lit(0))
-        one = F.array(F.struct(start.alias("start"), F.lit(index).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["part"] >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    return F.when(text.rlike(rule.pattern), F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])).otherwise(empty)
+    def ends(block: Column, at: Column) -> Column:
+        """Where each match of a block ends, if what is before the block ends at `at`."""
+        return F.aggregate(block, F.struct(at.alias("at"), F.expr("cast(array() as array<int>)").alias("out")), lambda a, x: let(a["at"] + x["gap"] + F.coalesce(x["size"], F.lit(0)), lambda e: F.struct(e.alias("at"), F.concat(a["out"], F.array(e)).alias("out"))), lambda a: a["out"])
+
+    def spans(p: Column) -> Column:
+        # Sums up to each match in blocks of about the root of their number: an array that grows one by one is copied each time.
+        n = F.size(p)
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda k: F.slice(p, (k * width + 1).cast("int"), width))
+        total = lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + x["gap"] + F.coalesce(x["size"], F.lit(0)))
+        begins = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), lambda a, c: F.struct((a["at"] + total(c)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        at = F.flatten(F.zip_with(blocks, begins, ends))
+        all_ = F.transform(F.arrays_zip(p.alias("p"), at.alias("end")), lambda x: F.struct((x["end"] - x["p"]["size"]).alias("start"), F.lit(index).alias("kind"), x["end"].alias("end"), x["p"]["part"].alias("part")))
+        return F.transform(F.filter(all_, lambda x: x["part"] >= rule.least), lambda x: F.struct(x["start"], x["kind"], x["end"]))
+
+    return F.when(text.rlike(rule.pattern), let(parts, spans)).otherwise(empty)
 
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:

@@ -165,12 +165,25 @@ def test_chunks_change_nothing(monkeypatch):
 
 def test_bloom_filters_name_all_languages():
     how = langid.Settings(bits=12)
-    masks = np.zeros((2, 1 << 12), np.uint64)
+    masks = np.zeros((1, 2, 1 << 12), np.uint64)
     for bit, words in ((1, "der die das und"), (2, "the and of das")):
         for g in langid._grams(words, how):
             for k in range(2):
-                masks[k][g[k]] |= np.uint64(bit)
+                masks[0, k][g[k]] |= np.uint64(bit)
     f = langid.Filters(["de", "en"], masks, how)
     assert f.predict("der die")[0] == "de" and f.predict("the of")[0] == "en"
     for g in langid._grams("das", how):
         assert (f.languages_of(g) == 3).all()
+
+
+def test_seventy_languages(spark):
+    """Each has letters of its own; a slot needs two words for them."""
+    alphabet = [chr(0x4E00 + i) for i in range(70 * 6)]
+    rng = np.random.default_rng(1)
+    word = lambda k: "".join(rng.choice(alphabet[6 * k : 6 * k + 6], 4))
+    rows = [(n * 70 + k, " ".join(word(k) for _ in range(30)), f"l{k:02}") for k in range(70) for n in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    filters = langid.train(docs.where("doc_id < 210"))
+    assert len(filters.languages) == 70 and filters.masks.shape[0] == 2
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, filters, ["doc_id"]).collect()}
+    assert {(got[i], lang) for i, _, lang in rows} == {(lang, lang) for _, _, lang in rows}

@@ -66,6 +66,13 @@ def test_tricky_secrets(spark, tmp_path):
     assert got[14] == "url_login:0:15"
 
 
+def test_many_secrets_in_a_text(spark, tmp_path):
+    """A dump of 60,000 keys, and texts of one to ten: places add up in any number of blocks."""
+    docs = [(n, " ".join(f"token={'k' * (6 + i % 5)} é{'ab' * 12}" for i in range(n))) for n in (*range(1, 11), 30_000)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    check_secrets(secrets.op1_secret_scan(spark, str(tmp_path)).collect(), dict(docs))
+
+
 def test_secrets_of_odd_rows(spark):
     docs = odd_docs(spark)
     got = secrets.scan(docs).collect()

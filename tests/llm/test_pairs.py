@@ -164,6 +164,22 @@ def test_automaton_finds_all_windows(spark, window, shard_words):
     assert sorted(tuple(r) for r in got.collect()) == sorted(hits(docs, items, window))
 
 
+def test_shards_are_passes_of_their_own(spark):
+    """A benchmark of a dozen blocks, one item longer than a block: the result of one block, with one worker a plan."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(f"i{k}", text(30)) for k in range(45)] + [("long", text(300)), ("short", "w1 w2")]
+    docs = [(k, " ".join([text(20), (items[k % 47][1] or "").lower(), text(10)]) if k % 2 else text(60)) for k in range(60)] + [(60, None), (61, "")]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")
+    assert sum(1 for _ in decontaminate._shards(i, "item_id", "text", 150, 10)) >= 12
+    found = decontaminate.find_hits(d.withColumn("__spans", F_lit()).withColumn("__items", F_lit()), i, shard_words=150)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = decontaminate.contamination(d, i, shard_words=150).collect()
+    assert sorted(tuple(r) for r in got) == sorted(hits(docs, items))
+    assert len(found.collect()) == len(docs)
+
+
 def test_decontamination_of_odd_rows(spark):
     docs = odd_docs(spark)
     items = spark.createDataFrame([("x", "one"), ("y", "word1 and1 word2 and2 word3 and3 word4 and4 word5 and5 word6"), (None, None), ("z", "")], "item_id string, text string")
