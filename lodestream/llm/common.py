@@ -75,7 +75,7 @@ def small(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator
     Slices share their batch's memory; what is made of a slice is small even where a batch of long texts isn't."""
     for b in batches:
         c = b.column(column)
-        wide = pa.types.is_large_string(c.type) or pa.types.is_large_list(c.type)
+        wide = pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type) or pa.types.is_large_list(c.type)
         ends = np.frombuffer(c.buffers()[1], np.int64 if wide else np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64) if len(c) else np.zeros(1, np.int64)
         at = 0
         while at < b.num_rows:

@@ -206,7 +206,7 @@ class ByteEncoder:
             while at < len(text):
                 cut = _LONE_SPACE.search(text, at + _PART) if len(text) - at > _PART else None
                 to = cut.start() if cut else len(text)
-                ids = np.array(self.encoding.encode_ordinary(text[at:to] if at or cut else text), np.int32)
+                ids = self.encoding.encode_to_numpy(text[at:to] if at or cut else text, disallowed_special=()).astype(np.int32)
                 out.append(ids)
                 n += len(ids)
                 at = to

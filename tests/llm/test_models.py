@@ -34,7 +34,7 @@ def base_scores(docs):
 def test_base_scores(spark, head):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     want = base_scores([(r.doc_id, r.text) for r in df.collect()])
-    got = lm.score(df, lm.held_out(), ["doc_id"], lm.Settings(head=head, train_share=0.0)).collect()
+    got = lm.score(df, lm.held_out(), ["doc_id"], lm.Settings(head=head, rounds=0)).collect()
     assert len(got) == len(want)
     for r in got:
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4]
@@ -54,6 +54,26 @@ def test_model_beats_counts_of_ids_on_held_out_texts(spark):
     assert sum(r.score for r in rows if r.held_out) > 0.9 * np.log10(count / count.sum())[ids(True)].sum()
 
 
+def test_attention_beats_the_same_model_without_it(spark):
+    """On held-out texts; without rounds of training the attention adds nothing to what the symbol before says."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    total = lambda **how: lm.score(docs, lm.held_out(), ["doc_id"], lm.Settings(**how)).where("held_out").agg(F.sum("score")).first()[0]
+    assert total() > 0.96 * total(rounds=0)
+
+
+def test_every_row_has_windows_in_training():
+    m = _model()
+    sizes = np.array([1, 3, 40, 0, 200, 7])
+    off = np.concatenate([[0], np.cumsum(sizes)])
+    all_ = m.windows(np.arange(off[-1]) % 32, off)[2]
+    for shift in range(12):
+        where = m.windows(np.arange(off[-1]) % 32, off, 6, np.full(len(sizes), shift))[2]
+        rows = np.searchsorted(off, where[:, 0], "right") - 1
+        n = -(-sizes // 4)
+        assert all((n[i] // 6 if n[i] >= 6 else min(n[i], 1)) <= (rows == i).sum() <= -(-n[i] // 6) for i in range(len(sizes)) if sizes[i])
+        assert {tuple(w) for w in where} <= {tuple(w) for w in all_}
+
+
 def _model(how=lm.Settings(symbols=32, classes=8, width=4, window=8, stride=4)):  # noqa: B008
     rng = np.random.default_rng(0)
     t = lm.Tables(np.bincount(rng.integers(0, 60, 4000), minlength=lm.VOCABULARY), how)
