@@ -38,6 +38,10 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What an edge is known by.
+EDGE = ("edge_id", "src", "dst", "etype")
+
+
 def edge_ops(episodes: DataFrame) -> DataFrame:
     """One row per edge and episode: assertions and retractions, with evidence.
 
@@ -64,16 +68,18 @@ def edge_ops(episodes: DataFrame) -> DataFrame:
 
 
 def edge_intervals(ops: DataFrame) -> DataFrame:
-    """edge_id, src, dst, etype, opened, closed (null: open): gaps and islands of assertions and retractions."""
-    by = Window.partitionBy("edge_id").orderBy("lsn")
+    """edge_id, src, dst, etype, opened, closed (null: open): gaps and islands of assertions and retractions.
+
+    An edge's ends and type are keys beside its id, so that conditions on them are pushed below the windows."""
+    by = Window.partitionBy(*EDGE).orderBy("lsn")
     turns = ops.withColumn("p", F.lag("op").over(by)).where(~F.col("op").eqNullSafe(F.col("p")) & ~((F.col("op") == "r") & F.col("p").isNull()))
     return turns.withColumn("closed", F.lead("lsn").over(by)).where("op = 'a'").select("edge_id", "src", "dst", "etype", F.col("lsn").alias("opened"), "closed")
 
 
 def edge_versions(ops: DataFrame) -> DataFrame:
-    """edge_id, hypothesis, confidence, polarity, source, since: the first evidence of each hypothesis."""
+    """edge_id, src, dst, etype, hypothesis, confidence, polarity, source, since: the first evidence of each hypothesis."""
     first = F.min_by(F.struct("confidence", "polarity", "source"), "lsn").alias("x")
-    return ops.where("op = 'a'").groupBy("edge_id", "hypothesis").agg(first, F.min("lsn").alias("since")).select("edge_id", "hypothesis", "x.confidence", "x.polarity", "x.source", "since")
+    return ops.where("op = 'a'").groupBy(*EDGE, "hypothesis").agg(first, F.min("lsn").alias("since")).select(*EDGE, "hypothesis", "x.confidence", "x.polarity", "x.source", "since")
 
 
 def belief_of(polarity: Column, confidence: Column) -> Column:
@@ -84,7 +90,7 @@ def belief_of(polarity: Column, confidence: Column) -> Column:
 
 def beliefs(versions: DataFrame, as_of: int | None = None) -> DataFrame:
     v = versions if as_of is None else versions.where(F.col("since") < as_of)
-    return v.groupBy("edge_id").agg(belief_of(F.col("polarity"), F.col("confidence")).alias("belief"), F.count(F.lit(1)).alias("n_hypotheses"))
+    return v.groupBy(*EDGE).agg(belief_of(F.col("polarity"), F.col("confidence")).alias("belief"), F.count(F.lit(1)).alias("n_hypotheses"))
 
 
 def alive(intervals: DataFrame, as_of: int | None = None) -> DataFrame:
@@ -103,7 +109,7 @@ def match_edges(intervals: DataFrame, versions: DataFrame, src: str | None = Non
         e = e.where(F.col("dst") == dst)
     if etype is not None:
         e = e.where(F.col("etype") == edge_type_key(etype))
-    return e.join(beliefs(versions, as_of), "edge_id", "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
+    return e.join(beliefs(versions, as_of), list(EDGE), "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
 
 
 def neighbors(intervals: DataFrame, versions: DataFrame, node: str, etype: str | None = None, as_of: int | None = None, least: float = 0.0) -> DataFrame:

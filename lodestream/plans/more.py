@@ -74,13 +74,13 @@ def _v11(s, d):
 def _sample(s, d):
     v = _vectors(s, d).select("lsn", "p")
     pair = v.select(F.col("lsn").alias("i"), F.col("p").alias("a")).join(v.select((F.col("lsn") - 1).alias("i"), F.col("p").alias("b")), "i")
-    return pair.where("i < 100").select((1 + F.col("i") % 3).cast("double").alias("graph_dist"), "a", "b")
+    return pair.select((1 + F.col("i") % 3).cast("double").alias("graph_dist"), "a", "b")
 
 
 _FIT = f"""WITH v AS (SELECT vec_id AS i, {_HYP} AS h, embedding[33:48]::DOUBLE[] AS s, embedding[49:64]::DOUBLE[] AS e FROM embeddings),
 p AS (SELECT 1.0::DOUBLE + a.i % 3 AS g, list_sum(list_transform(range(1, 33), lambda k: (a.h[k] - b.h[k]) ** 2)) AS dh, list_dot_product(a.h, a.h) AS na, list_dot_product(b.h, b.h) AS nb,
   acos(greatest(-1, least(1, list_dot_product(a.s, b.s) / (sqrt(list_dot_product(a.s, a.s)) * sqrt(list_dot_product(b.s, b.s)))))) AS ds, list_sum(list_transform(range(1, 17), lambda k: (a.e[k] - b.e[k]) ** 2)) AS de
-  FROM v a JOIN v b ON b.i = a.i + 1 WHERE a.i < 100),
+  FROM v a JOIN v b ON b.i = a.i + 1),
 grid AS (SELECT * FROM (VALUES (0, 0.5), (1, 1.0), (2, 2.0)) AS c(ci, c), (VALUES (0, 0.5), (1, 1.0), (2, 2.0)) AS k(ki, k2), (VALUES (0, 1.0, 1.0, 1.0), (1, 2.0, 1.0, 0.5), (2, 1.0, 0.5, 0.0), (3, 1.0, 0.0, 1.0)) AS w(wi, w1, w2, w3))
 SELECT (ci * 12 + ki * 4 + wi)::INTEGER AS n, round(avg(abs(sqrt(w1 * (acosh(1 + 2 * c * dh / ((1 - c * least(na, (1 - 1e-5) ** 2 / c)) * (1 - c * least(nb, (1 - 1e-5) ** 2 / c)))) / sqrt(c)) ** 2 + w2 * (ds / sqrt(k2)) ** 2 + w3 * de) - g) / g), 4) AS distortion
 FROM p, (SELECT ci, ki, wi, c::DOUBLE AS c, k2::DOUBLE AS k2, w1::DOUBLE AS w1, w2::DOUBLE AS w2, w3::DOUBLE AS w3 FROM grid) GROUP BY ci, ki, wi"""
@@ -116,7 +116,7 @@ SELECT id, round(x, 6) AS final FROM f ORDER BY x DESC, id LIMIT 20"""
 
 def _why_until(s, d):
     """The chain from e390 to the third cause back."""
-    e = snapshot(from_events(s, d), 400)
+    e = from_events(s, d)
     back = causal.ancestors(e, "e390", 3).orderBy(F.desc("depth")).select("node").first()
     path = causal.why_until(e, "e390", back[0]) if back else []
     return s.createDataFrame([(i, x) for i, x in enumerate(path)], "step int, id string")
@@ -166,7 +166,7 @@ def _cold(s, d):
 
 def _merged(s, d):
     e = from_events(s, d).select("lsn", F.col("agent_id").alias("id"), "kind")
-    return duplicates_merged(e.where("lsn < 500"), e.where("lsn >= 400 AND lsn < 900"))
+    return duplicates_merged(e.where("lsn < 500"), e.where("lsn >= 400"))
 
 
 def _fold(s, d):
@@ -224,14 +224,14 @@ MORE: dict[str, tuple] = {
     "r09_fuse": (_fuse, _FUSE),
     "r10_spread": (_spread, "SELECT dst AS id, count(*) * 0.25::DOUBLE AS boost FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM (SELECT DISTINCT user_id AS src, CAST(json_extract_string(props, '$.k') AS INTEGER) AS dst FROM events)) WHERE n <= 64 GROUP BY dst"),
     "r11_distill": (_distill, None),
-    "g06_ancestors": (lambda s, d: causal.ancestors(snapshot(from_events(s, d), 400), "e390", 2), f"{_W.replace('WITH', 'WITH RECURSIVE')}, r(node, depth) AS (SELECT 'e390', 0 UNION ALL SELECT 'e' || ep.parent, depth + 1 FROM r JOIN ep ON ep.id = r.node WHERE ep.parent IS NOT NULL AND depth < 2) SELECT node, depth FROM r WHERE depth > 0"),
+    "g06_ancestors": (lambda s, d: causal.ancestors(from_events(s, d), "e390", 2), f"{_W.replace('WITH', 'WITH RECURSIVE')}, r(node, depth) AS (SELECT 'e390', 0 UNION ALL SELECT 'e' || ep.parent, depth + 1 FROM r JOIN ep ON ep.id = r.node WHERE ep.parent IS NOT NULL AND depth < 2) SELECT node, depth FROM r WHERE depth > 0"),
     "g08_why_until": (_why_until, f"{_W.replace('WITH', 'WITH RECURSIVE')}, r(id, step) AS (SELECT 'e390', 0 UNION ALL SELECT 'e' || ep.parent, step + 1 FROM r JOIN ep ON ep.id = r.id WHERE ep.parent IS NOT NULL AND step < 3) SELECT step, id FROM r"),
     "a12_fusion_weights": (_weights, f"WITH e AS (SELECT user_id, event_id = min(event_id) OVER (PARTITION BY user_id) AS rel, floor(value) AS a, event_id % 10 AS b, 1 AS c FROM events) SELECT round({_MRR.format('a')}, 6) AS a, round({_MRR.format('b')}, 6) AS b, round({_MRR.format('c')}, 6) AS c"),
     "a24_accesses": (_accesses, f"{_W}SELECT lsn FROM ep WHERE kind = 'view' AND agent_id LIKE '%u9%'"),
     "k01_append": (_append, "SELECT count(*) AS n, count(*) - 1 AS last, count(*) AS numbers, count(*) FILTER (WHERE event_type <> 'error') AS first_error, count(*) AS times FROM events"),
     "k08_mirror": (_mirror, f"{_W}SELECT lsn, kind, content, CASE WHEN parent IS NULL THEN '[]' ELSE '[\"e' || parent || '\"]' END AS parents_json, ms AS valid_from, until AS valid_to, CAST(k AS VARCHAR) AS k FROM ep"),
     "k10_threshold_compaction": (_cold, "SELECT event_id AS lsn FROM events WHERE event_type NOT IN ('error', 'view', 'click')"),
-    "s12_view_and_tail": (_merged, f"{_W}SELECT max(lsn) AS lsn, agent_id AS id, arg_max(kind, lsn) AS kind FROM ep WHERE lsn < 900 GROUP BY agent_id"),
+    "s12_view_and_tail": (_merged, f"{_W}SELECT max(lsn) AS lsn, agent_id AS id, arg_max(kind, lsn) AS kind FROM ep GROUP BY agent_id"),
     "f_seal_and_shred": (_seal, f"{_W}SELECT lsn, CASE WHEN agent_id <> 'u3' THEN content END AS content FROM ep"),
     "p18_typed_expression": (_expression, "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 10 AND NOT (l_extendedprice * l_discount < 1500)"),
     "st07_ledger_fold": (_fold, "SELECT user_id AS key, arg_max(event_type, event_id) AS value FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'"),

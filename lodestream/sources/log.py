@@ -19,6 +19,14 @@ class Conflict(RuntimeError):
     """Another writer was first, or a key came back with another payload."""
 
 
+class Moved(Conflict):
+    """The head is no longer where the writer has seen it."""
+
+
+#: How often an idempotent append looks for its keys again, when other writers were first.
+ATTEMPTS = 8
+
+
 class Log:
     """Episodes under path/data, one folder a commit, and path/commits, one small file a commit that says where it
     begins. A commit's file is made only if it isn't there, so of two writers at the same head one fails and nothing of it
@@ -79,7 +87,7 @@ class Log:
         commits = self.commits()
         head = sum(c["n"] for c in commits)
         if expected is not None and expected != head:
-            raise Conflict(f"the head is {head}, not {expected}")
+            raise Moved(f"the head is {head}, not {expected}")
         defaults = {"id": F.uuid(), "agent_id": F.lit(""), "session_id": F.lit(""), "kind": F.lit("Observation"), "attrs": F.create_map().cast("map<string,string>"), "parents": F.array().cast("array<string>")}
         cols = [f for f in EPISODES.fields if f.name not in ("lsn", "ts_hlc")]
         shaped = batch.select(*(F.coalesce(F.col(f.name), defaults[f.name]).alias(f.name) if f.name in names and f.name in defaults else F.col(f.name).cast(f.dataType).alias(f.name) if f.name in names else defaults.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in cols))
@@ -109,30 +117,42 @@ class Log:
             out = self.fs.create(name, False)
         except Exception as e:
             self.fs.delete(self._at(f"{self.path}/data/{what['folder']}"), True)
-            raise Conflict(f"another writer was first at {what['first']}") from e
+            raise Moved(f"another writer was first at {what['first']}") from e
         out.write(bytearray(json.dumps(what).encode()))
         out.close()
 
     def append_idempotent(self, batch: DataFrame, key: str = "key") -> DataFrame:
         """(key, lsn, duplicate) for each key of batch. A key that is in the log, or comes twice, is appended once; with
-        another payload than before it is a conflict, and nothing is appended."""
+        another payload than before it is a conflict, and nothing is appended; another writer that appends after the
+        keys were read makes the call look again."""
+        for attempt in range(ATTEMPTS):
+            try:
+                return self._append_new(batch, key)
+            except Moved:
+                if attempt == ATTEMPTS - 1:
+                    raise
+        raise AssertionError
+
+    def _append_new(self, batch: DataFrame, key: str) -> DataFrame:
         own = [c for c in batch.columns if c not in (key, "lsn", "ts_hlc", "id")]
         hashed = batch.withColumn(HASH, F.sha2(F.to_json(F.struct(*(F.sort_array(F.map_entries(c)).alias(c) if c == "attrs" else F.col(c) for c in sorted(own)))), 256))
         one = hashed.groupBy(key).agg(F.min(HASH).alias("__h"), F.countDistinct(HASH).alias("__kinds"))
-        there = self.keys()
+        # Keys are read up to a head, and the append holds only if that is still the head.
+        head = self.head()
+        there = self.keys(head)
         clash = one.join(there, one[key] == there["k"], "left").where((F.col("__kinds") > 1) | (F.col("h").isNotNull() & (F.col("h") != F.col("__h"))))
         if not clash.isEmpty():
             raise Conflict("a key came with another payload")
         attrs = F.coalesce(F.col("attrs"), F.create_map().cast("map<string,string>")) if "attrs" in batch.columns else F.create_map().cast("map<string,string>")
         fresh = hashed.join(there.select(F.col("k").alias(key)), key, "left_anti").dropDuplicates([key])
-        self.append(fresh.withColumn("attrs", F.map_concat(attrs, F.create_map(F.lit(KEY), F.col(key).cast("string"), F.lit(HASH), F.col(HASH)))).drop(key, HASH))
+        self.append(fresh.withColumn("attrs", F.map_concat(attrs, F.create_map(F.lit(KEY), F.col(key).cast("string"), F.lit(HASH), F.col(HASH)))).drop(key, HASH), expected=head)
         before = there.select("k").withColumn("duplicate", F.lit(True))
         now = self.keys()
         return one.select(key).join(now.select(F.col("k").alias(key), "lsn"), key).join(before.withColumnRenamed("k", key), key, "left").select(key, "lsn", F.coalesce("duplicate", F.lit(False)).alias("duplicate"))
 
-    def keys(self) -> DataFrame:
+    def keys(self, to: int | None = None) -> DataFrame:
         a = F.col("attrs")
-        return self.episodes().where(a[KEY].isNotNull()).select(a[KEY].alias("k"), a[HASH].alias("h"), "lsn")
+        return self.episodes(to).where(a[KEY].isNotNull()).select(a[KEY].alias("k"), a[HASH].alias("h"), "lsn")
 
     def compact(self, rows_per_file: int = 1 << 20) -> None:
         """Every commit in one folder, ranges of sequence numbers in files of a bounded number of rows."""

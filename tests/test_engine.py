@@ -218,3 +218,44 @@ def test_edges_of_parents_and_types(spark):
 
     ops = graph.edge_ops(episodes(spark, [{"id": "a"}, {"id": "b", "parents": ["a"]}, edge("x", "y", "NotRelated"), edge("x", "y", "Zed", stance="against")])).collect()
     assert {(r.edge_id, r.polarity) for r in ops} == {("a->b#custom:provenance", 1), ("x->y#not_related", -1), ("x->y#custom:zed", -1)}
+
+
+def test_an_idempotent_append_sees_another_writer(spark, tmp_path, monkeypatch):
+    """One that appends the same key between the look for keys and the append: the key is there once."""
+    from pyspark.sql import functions as F
+
+    path, kept = f"{tmp_path}/log", Log.keys
+    rows = spark.createDataFrame([("a", "x"), ("b", "y")], "key string, content string")
+    raced = []
+
+    def keys(self, to=None):
+        found = kept(self, to)
+        if not raced:
+            raced.append(True)
+            Log(spark, path).append_idempotent(rows.where("key = 'a'"))
+        return found
+
+    monkeypatch.setattr(Log, "keys", keys)
+    got = {r.key: (r.lsn, r.duplicate) for r in Log(spark, path).append_idempotent(rows).collect()}
+    assert got == {"a": (0, True), "b": (1, False)}
+    assert sorted(r.k for r in Log(spark, path).keys().select(F.col("k")).collect()) == ["a", "b"]
+
+
+def test_sql_reads_literals_before_comments():
+    from lodestream.plans.sql import guard
+
+    assert guard("SELECT '--x' AS a, 1 AS b FROM events -- end") == "SELECT '--x' AS a, 1 AS b FROM events"
+    assert guard("SELECT '/*' AS a /* it's */ , '*/' AS b") == "SELECT '/*' AS a   , '*/' AS b"
+    assert guard("SELECT 'reflect(' AS a") == "SELECT 'reflect(' AS a"
+    for bad in ("SELECT java_method('java.lang.System', 'exit', 1)", "SELECT `reflect` ('a', 'b')", "SELECT try_reflect('a')", "SELECT 1; SELECT 2"):
+        with pytest.raises(ValueError):
+            guard(bad)
+
+
+def test_conditions_on_ends_reach_below_the_windows(spark):
+    from lodestream.operators import graph
+
+    ops = spark.createDataFrame([(i, "t", 1.0, "s", f"n{i % 5}", f"n{i % 7}", "a", None, 1, None, None) for i in range(40)], "lsn bigint, etype string, confidence double, source string, src string, dst string, op string, hypothesis string, polarity int, world_from bigint, world_to bigint").selectExpr("*", "concat(src, '->', dst, '#', etype) AS edge_id")
+    plan = graph.match_edges(graph.edge_intervals(ops), graph.edge_versions(ops), src="n1")._jdf.queryExecution().optimizedPlan().toString()
+    for side in plan.split("Join LeftOuter")[1].split("Aggregate")[:1] + plan.split("Aggregate")[-1:]:
+        assert "= n1" in side.split("Window")[-1]
