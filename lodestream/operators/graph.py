@@ -31,6 +31,8 @@ def materialize(df: DataFrame) -> DataFrame:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not at.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = at.get() if at.isDefined() else tempfile.mkdtemp(prefix="lodestream-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/loops/{uuid.uuid4().hex}"
