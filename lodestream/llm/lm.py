@@ -21,9 +21,9 @@ TEXT_BYTES, IDS = 2 << 20, 1 << 18
 @dataclass(frozen=True)
 class Settings:
     """symbols: the most frequent ids each are one, all others share symbol 0. classes: of symbols, which attention tells
-    apart. window, stride: a context window's ids, of which the last stride ones are scored. every: each training row
-    has one of so many of its windows go through gradient steps in a round, one at least and another in each round;
-    counts take all ids. head: words whose counts every task gets."""
+    apart. window, stride: a context window's ids, of which the last stride ones are scored. rounds: all windows of a
+    training row are dealt over them, so each goes through gradient steps (once; again in another round where a row has
+    fewer windows than there are rounds). head: words whose counts every task gets."""
 
     symbols: int = 1024
     classes: int = 64
@@ -31,7 +31,6 @@ class Settings:
     window: int = 32
     stride: int = 16
     rounds: int = 2
-    every: int = 32
     batch: int = 48
     rate: float = 2e-2
     head: int = 1 << 17
@@ -116,55 +115,68 @@ class Model:
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[n].ravel() for n in self.shapes])
 
-    def forward(self, context: np.ndarray, valid: np.ndarray):
-        """Class log-probabilities after each of the last stride places of context (windows x window); valid: real places.
-
-        Masked are places to the right and those before a text's start."""
-        h, p = self.t.how, self.p
+    def _layers(self, context: np.ndarray, valid: np.ndarray):
+        """Unnormalised class log-probabilities after each of the last stride places of all windows (places x classes), the
+        exponentials of them, their sums, and what the layers hold. Maxima are taken away only where float32's exp needs it."""
+        h, p, n = self.t.how, self.p, len(context)
         x = p["e"].take(context, axis=0)
-        last = x[:, h.window - h.stride :]
-        q, k, v = last @ p["q"], x @ p["k"], x @ p["v"]
+        last, each = x[:, h.window - h.stride :].reshape(-1, h.width), x.reshape(-1, h.width)
+        q, k, v = last @ (p["q"] / np.float32(np.sqrt(h.width))), each @ p["k"], each @ p["v"]
+        q, k, v = (a.reshape(n, -1, h.width) for a in (q, k, v))
         s = q @ k.transpose(0, 2, 1)
-        s *= 1 / np.sqrt(h.width)
-        s += np.where(self.causal, p["b"][self.distance], np.float32(-1e9))
-        s += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
-        s -= s.max(axis=2, keepdims=True)
+        large = s.size and max(s.max(), -s.min()) + np.abs(p["b"]).max() >= 60
+        s += np.where(self.causal, p["b"][self.distance], p["b"].dtype.type(-1e9))
+        if not valid.all():
+            s += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
+        if large:
+            s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        o = s @ v
+        s *= 1 / (s.reshape(-1, h.window) @ np.ones(h.window, s.dtype)).reshape(n, h.stride, 1)
+        o = (s @ v).reshape(-1, h.width)
         z = o @ p["o"]
-        z += self.t.class_after[context[:, h.window - h.stride :]]
-        z -= z.max(axis=2, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
-        return z, (x, last, q, k, v, s, o)
+        large = z.size and max(z.max(), -z.min()) >= 60
+        z += self.t.class_after.take(context[:, h.window - h.stride :].ravel(), axis=0)
+        if large:
+            z -= z.max(axis=1, keepdims=True)
+        e = np.exp(z)
+        return z, e, e @ np.ones(h.classes, e.dtype), (each, last, q, k, v, s, o)
+
+    def forward(self, context: np.ndarray, valid: np.ndarray):
+        """Class log-probabilities after each of the last stride places of context (windows x window); valid: real places.
+
+        Masked are places to the right and those before a text's start."""
+        z, _, total, held = self._layers(context, valid)
+        return (z - np.log(total)[:, None]).reshape(len(context), self.t.how.stride, -1), held
 
     def gradient(self, context: np.ndarray, valid: np.ndarray, target: np.ndarray, real: np.ndarray):
         """Mean loss over real targets (classes) and its gradient by parameter."""
-        h, p = self.t.how, self.p
-        z, (x, last, q, k, v, s, o) = self.forward(context, valid)
-        n = max(1, int(real.sum()))
-        w, t = np.nonzero(real)
-        loss = -z[w, t, target[w, t]].sum() / n
-        dz = np.exp(z)
-        dz[w, t, target[w, t]] -= 1
-        dz *= real[:, :, None] / np.float32(n)
-        g = {"o": o.reshape(-1, h.width).T @ dz.reshape(-1, h.classes)}
-        do = dz @ p["o"].T
+        h, p, n = self.t.how, self.p, len(context)
+        z, dz, total, (each, last, q, k, v, s, o) = self._layers(context, valid)
+        at, real = (np.arange(len(z)), target.ravel()), real.ravel()
+        share = real.astype(z.dtype) / z.dtype.type(max(1, int(real.sum())))
+        loss = ((np.log(total) - z[at]) * share).sum()
+        dz *= (share / total)[:, None]
+        dz[at] -= share
+        g = {"o": o.T @ dz}
+        do = (dz @ p["o"].T).reshape(n, h.stride, h.width)
+        dv = (s.transpose(0, 2, 1) @ do).reshape(-1, h.width)
         ds = do @ v.transpose(0, 2, 1)
-        dv = s.transpose(0, 2, 1) @ do
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
+        ds -= (do.reshape(-1, h.width) * o @ np.ones(h.width, o.dtype)).reshape(n, h.stride, 1)  # sums of s * ds, as o is s @ v
+        ds *= s
         g["b"] = np.bincount(self.distance[self.causal], ds.sum(axis=0)[self.causal], h.window).astype(np.float32)
-        ds *= np.float32(1 / np.sqrt(h.width))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        for name, a, b in (("q", last, dq), ("k", x, dk), ("v", x, dv)):
-            g[name] = a.reshape(-1, h.width).T @ b.reshape(-1, h.width)
-        dx = dk @ p["k"].T + dv @ p["v"].T
-        dx[:, h.window - h.stride :] += dq @ p["q"].T
+        scale = np.float32(1 / np.sqrt(h.width))
+        dq, dk = (ds @ k).reshape(-1, h.width) * scale, (ds.transpose(0, 2, 1) @ q).reshape(-1, h.width)  # q has the scale
+        for name, a, b in (("q", last, dq), ("k", each, dk), ("v", each, dv)):
+            g[name] = a.T @ b
+        dx = dk @ p["k"].T
+        dx += dv @ p["v"].T
+        dx.reshape(n, h.window, h.width)[:, h.window - h.stride :] += (dq @ p["q"].T).reshape(n, h.stride, h.width)
         g["e"] = np.zeros_like(p["e"])
-        order = np.argsort(context, axis=None, kind="stable")
-        sorted_ = context.ravel()[order]
+        flat = context.ravel()
+        order = np.argsort(flat.astype(np.uint16), kind="stable")  # narrow numbers are sorted by digits
+        sorted_ = flat[order]
         first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        g["e"][sorted_[first]] = np.add.reduceat(dx.reshape(-1, h.width)[order], first, axis=0)
+        g["e"][sorted_[first]] = np.add.reduceat(dx.take(order, axis=0), first, axis=0)
         return loss, g
 
     def windows(self, symbols: np.ndarray, offsets: np.ndarray, every: int = 1, shift: np.ndarray | None = None):
@@ -218,7 +230,7 @@ class Model:
         np.exp(z, out=z)
         return (got - most - np.log(z @ np.ones(h.classes, np.float32))).reshape(last.shape)
 
-    def log10(self, ids: np.ndarray, offsets: np.ndarray, at_once: int = 512) -> np.ndarray:
+    def log10(self, ids: np.ndarray, offsets: np.ndarray, at_once: int = 64) -> np.ndarray:
         """log10 of each text's probability, its end among its ids."""
         t = self.t
         symbols = t.symbol[ids]
@@ -237,16 +249,21 @@ class Model:
 
     def train(self, batches, rate: float) -> int:
         """Adam over (context, valid, target, real) batches; the number of windows seen."""
-        m = {n: np.zeros(s, np.float32) for n, s in self.shapes.items()}
-        v = {n: np.zeros(s, np.float32) for n, s in self.shapes.items()}
+        p = self.flat()
+        at = np.cumsum([0, *(int(np.prod(s)) for s in self.shapes.values())])
+        self.p = {n: p[a:b].reshape(s) for (n, s), a, b in zip(self.shapes.items(), at[:-1], at[1:], strict=True)}
+        m, v = np.zeros_like(p), np.zeros_like(p)
         seen, self.tables = 0, None
         for i, b in enumerate(batches, 1):
             _, g = self.gradient(*b)
             seen += len(b[0])
-            for n in self.shapes:
-                m[n] += 0.1 * (g[n] - m[n])
-                v[n] += 0.01 * (g[n] ** 2 - v[n])
-                self.p[n] -= rate * (m[n] / (1 - 0.9**i)) / (np.sqrt(v[n] / (1 - 0.99**i)) + 1e-8)
+            g = np.concatenate([g[n].ravel() for n in self.shapes])
+            m += 0.1 * (g - m)
+            g *= g
+            v += 0.01 * (g - v)
+            step = np.sqrt(v / (1 - 0.99**i))
+            step += 1e-8
+            p -= np.divide(m, step, out=step) * (rate / (1 - 0.9**i))
         return seen
 
 
@@ -282,8 +299,8 @@ def _vector_counts(column: str, rows: DataFrame, count, size: int) -> np.ndarray
 
 def train(rows: DataFrame, how: Settings = Settings()) -> Model:  # noqa: B008
     """The model from rows (ids, rid): counts of ids and of neighbours over all of them, then rounds in which every task
-    takes gradient steps on windows of all its rows and what they arrive at is averaged by windows seen. What the driver gets is
-    bounded by Settings. No rows: a model of uniform ids."""
+    takes gradient steps on windows of all its rows, all windows in all rounds, and what they arrive at is averaged by windows
+    seen. What the driver gets is bounded by Settings. No rows: a model of uniform ids."""
     sc, k = rows.sparkSession.sparkContext, how.symbols
     unigrams = _vector_counts("ids", rows, lambda ids, off: np.bincount(ids, minlength=VOCABULARY), VOCABULARY)
     tables = Tables(unigrams, how)
@@ -313,12 +330,12 @@ def _round(rows: DataFrame, model: Model, how: Settings, r: int) -> np.ndarray |
         m = Model(t, flat)
 
         def steps():
-            for b in small(batches, 0, 8 * IDS):
+            for b in small(batches, 0, 2 * IDS):
                 ids, off = _lists(b.column(0))
-                # Where a row begins, mixed, and another place in each round.
-                shift = (b.column(1).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) + r * (how.every // how.rounds)
+                # Where a row begins, mixed, and the next place in each round.
+                shift = (b.column(1).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) + r
                 symbols = t.symbol[ids]
-                context, valid, where, real = m.windows(symbols, off, how.every, shift)
+                context, valid, where, real = m.windows(symbols, off, how.rounds, shift)
                 target = t.classof[symbols[where]]
                 mixed = np.random.default_rng(r).permutation(len(context))
                 for a in range(0, len(context), how.batch):

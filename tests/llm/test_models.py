@@ -74,6 +74,27 @@ def test_every_row_has_windows_in_training():
         assert {tuple(w) for w in where} <= {tuple(w) for w in all_}
 
 
+def test_every_window_goes_through_gradient_steps(spark):
+    """In one row of different ids, each id is in one or two windows: what is learned of it moves if they are trained on."""
+    ids = np.append(np.arange(200), lm.BOUNDARY).astype(np.int64)
+    how = lm.Settings(symbols=256, classes=8, width=4, window=8, stride=4, batch=1)
+    rows = spark.createDataFrame([(bytes(ids.astype("<u2").tobytes()), i) for i in (0, 1)], "ids binary, rid bigint").repartition(1)
+    m = lm.train(rows, how)
+    moved = np.abs(m.p["e"] - m.t.embedding).max(axis=1) > 0
+    assert moved[m.t.symbol[ids[:-1]]].all()
+
+
+def test_every_window_is_dealt_once():
+    m = _model()
+    sizes = np.array([1, 3, 40, 0, 201, 7])
+    off = np.concatenate([[0], np.cumsum(sizes)])
+    for rounds in (1, 2, 3):
+        dealt = [m.windows(np.arange(off[-1]) % 32, off, rounds, np.arange(len(sizes)) * 5 + r) for r in range(rounds)]
+        times = collections.Counter(i for _, _, where, real in dealt for i in where[real].tolist())
+        assert set(times) == set(range(off[-1]))
+        assert all(times[i] == 1 for k, n in enumerate(sizes) if n > 4 * (rounds - 1) for i in range(off[k], off[k + 1]))
+
+
 def _model(how=lm.Settings(symbols=32, classes=8, width=4, window=8, stride=4)):  # noqa: B008
     rng = np.random.default_rng(0)
     t = lm.Tables(np.bincount(rng.integers(0, 60, 4000), minlength=lm.VOCABULARY), how)
