@@ -88,6 +88,11 @@ def _clusters(points: np.ndarray, weight: np.ndarray, n: int, rounds: int = 12)
     return at.astype(np.int64)
 
 
+def _fine(total: np.ndarray) -> bool:
+    """Sums of exponentials that float32 holds well, so that no maximum has to be taken away first."""
+    return not total.size or bool(total.min() > 1e-20 and total.max() < 1e20)
+
+
 class Model:
     """log P(class | context) = softmax(class_after[previous symbol] + attention(previous symbols)): one head over the
     window with a bias per distance. P(symbol | class) comes from the symbol before, P(id | symbol 0) from its count."""
@@ -111,35 +116,62 @@ class Model:
         i, j = np.arange(h.stride)[:, None] + h.window - h.stride, np.arange(h.window)[None]
         self.tables = None
         self.distance, self.causal = np.clip(i - j, 0, h.window - 1), j <= i
+        self.cells = np.arange(h.symbols * d + d).reshape(-1, d)  # of a symbol's embedding, in one row of all; masked: beyond
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[n].ravel() for n in self.shapes])
 
-    def _layers(self, context: np.ndarray, valid: np.ndarray):
-        """Unnormalised class log-probabilities after each of the last stride places of all windows (places x classes), the
-        exponentials of them, their sums, and what the layers hold. Maxima are taken away only where float32's exp needs it."""
-        h, p, n = self.t.how, self.p, len(context)
-        x = p["e"].take(context, axis=0)
-        last, each = x[:, h.window - h.stride :].reshape(-1, h.width), x.reshape(-1, h.width)
-        q, k, v = last @ (p["q"] / np.float32(np.sqrt(h.width))), each @ p["k"], each @ p["v"]
-        q, k, v = (a.reshape(n, -1, h.width) for a in (q, k, v))
-        s = q @ k.transpose(0, 2, 1)
-        large = s.size and max(s.max(), -s.min()) + np.abs(p["b"]).max() >= 60
-        s += np.where(self.causal, p["b"][self.distance], p["b"].dtype.type(-1e9))
-        if not valid.all():
-            s += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
-        if large:
-            s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s *= 1 / (s.reshape(-1, h.window) @ np.ones(h.window, s.dtype)).reshape(n, h.stride, 1)
-        o = (s @ v).reshape(-1, h.width)
-        z = o @ p["o"]
-        large = z.size and max(z.max(), -z.min()) >= 60
-        z += self.t.class_after.take(context[:, h.window - h.stride :].ravel(), axis=0)
-        if large:
-            z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        return z, e, e @ np.ones(h.classes, e.dtype), (each, last, q, k, v, s, o)
+    def _attend(self, q: np.ndarray, x: np.ndarray, bias: np.ndarray, valid: np.ndarray):
+        """Exponentials of the scores of all windows, one over their sums, and the means of x by them. x: embeddings and a
+        column of ones, which adds the exponentials up; a row of zeros is masked."""
+        for safe in (False, True):
+            s = q @ x[:, :, :-1].transpose(0, 2, 1)
+            s += bias
+            if safe:
+                s += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
+                s -= s.max(axis=2, keepdims=True)
+            with np.errstate(over="ignore", invalid="ignore"):
+                np.exp(s, out=s)
+                o = (s @ x).reshape(-1, x.shape[2])
+            if safe or _fine(o[:, -1]):
+                break
+        part = 1 / o[:, -1]
+        return s, part, o[:, :-1] * part[:, None]
+
+    def _classes(self, o: np.ndarray, to: np.ndarray, last: np.ndarray, at: np.ndarray | None = None):
+        """Unnormalised log-probabilities of classes (places x classes; only those at these indices, if there are any), the
+        exponentials of them and their sums."""
+        for safe in (False, True):
+            z = o @ to
+            z += self.t.class_after.take(last.ravel(), axis=0)
+            if safe:
+                z -= z.max(axis=1, keepdims=True)
+            some = z.copy() if at is None else z.take(at)
+            with np.errstate(over="ignore"):
+                np.exp(z, out=z)
+                total = z @ np.ones(z.shape[1], z.dtype)
+            if safe or _fine(total):
+                break
+        return some, z, total
+
+    def _products(self):
+        """What scores and logits are linear in: embeddings with a column of ones, and a row of zeros for masked places;
+        queries times keys; values times outputs; biases by distance."""
+        p, h = self.p, self.t.how
+        x = np.zeros((h.symbols + 1, h.width + 1), p["e"].dtype)
+        x[:-1, :-1], x[:-1, -1] = p["e"], 1
+        return x, (p["q"] * np.float32(1 / np.sqrt(h.width))) @ p["k"].T, p["v"] @ p["o"], np.where(self.causal, p["b"][self.distance], p["b"].dtype.type(-1e9))
+
+    def _layers(self, context: np.ndarray, valid: np.ndarray, at: np.ndarray | None = None):
+        """What _classes() has after each of the last stride places of all windows, and what the layers hold."""
+        h, n, tail = self.t.how, len(context), self.t.how.window - self.t.how.stride
+        x, qk, vo, bias = self._products()
+        places = np.where(valid, context, h.symbols)
+        x = x.take(places.ravel(), axis=0).reshape(n, h.window, -1)
+        last = x[:, tail:, :-1].reshape(-1, h.width)
+        q = (last @ qk).reshape(n, h.stride, h.width)
+        s, part, o = self._attend(q, x, bias, valid)
+        return *self._classes(o, vo, context[:, tail:], at), (places, x, last, q, qk, vo, s, part, o)
 
     def forward(self, context: np.ndarray, valid: np.ndarray):
         """Class log-probabilities after each of the last stride places of context (windows x window); valid: real places.
@@ -150,33 +182,34 @@ class Model:
 
     def gradient(self, context: np.ndarray, valid: np.ndarray, target: np.ndarray, real: np.ndarray):
         """Mean loss over real targets (classes) and its gradient by parameter."""
-        h, p, n = self.t.how, self.p, len(context)
-        z, dz, total, (each, last, q, k, v, s, o) = self._layers(context, valid)
-        at, real = (np.arange(len(z)), target.ravel()), real.ravel()
-        share = real.astype(z.dtype) / z.dtype.type(max(1, int(real.sum())))
-        loss = ((np.log(total) - z[at]) * share).sum()
+        h, p, n, d = self.t.how, self.p, len(context), self.t.how.width
+        at, real = np.arange(0, target.size * h.classes, h.classes) + target.ravel(), real.ravel()
+        z, dz, total, (places, x, last, q, qk, vo, s, part, o) = self._layers(context, valid, at)
+        share = real.astype(dz.dtype) / dz.dtype.type(max(1, int(real.sum())))
+        loss = (np.log(total) - z) @ share
         dz *= (share / total)[:, None]
-        dz[at] -= share
-        g = {"o": o.T @ dz}
-        do = (dz @ p["o"].T).reshape(n, h.stride, h.width)
-        dv = (s.transpose(0, 2, 1) @ do).reshape(-1, h.width)
-        ds = do @ v.transpose(0, 2, 1)
-        ds -= (do.reshape(-1, h.width) * o @ np.ones(h.width, o.dtype)).reshape(n, h.stride, 1)  # sums of s * ds, as o is s @ v
+        dz.reshape(-1)[at] -= share
+        dvo, scale = (dz.T @ o).T, np.float32(1 / np.sqrt(d))
+        g = {"o": p["v"].T @ dvo, "v": dvo @ p["o"].T}
+        # Of the means, over the sums of exponentials; in the last column what normalising takes away.
+        do = np.empty((len(dz), d + 1), dz.dtype)
+        np.multiply(dz @ vo.T, part[:, None], out=do[:, :-1])
+        np.negative((do[:, :-1] * o) @ np.ones(d, o.dtype), out=do[:, -1])
+        do = do.reshape(n, h.stride, d + 1)
+        # An embedding's gradient as a key and as a value in one product.
+        both, by = np.empty((n, 2 * h.stride, h.window), dz.dtype), np.empty((n, 2 * h.stride, d), dz.dtype)
+        ds = np.matmul(do, x.transpose(0, 2, 1), out=both[:, : h.stride])
         ds *= s
-        g["b"] = np.bincount(self.distance[self.causal], ds.sum(axis=0)[self.causal], h.window).astype(np.float32)
-        scale = np.float32(1 / np.sqrt(h.width))
-        dq, dk = (ds @ k).reshape(-1, h.width) * scale, (ds.transpose(0, 2, 1) @ q).reshape(-1, h.width)  # q has the scale
-        for name, a, b in (("q", last, dq), ("k", each, dk), ("v", each, dv)):
-            g[name] = a.T @ b
-        dx = dk @ p["k"].T
-        dx += dv @ p["v"].T
-        dx.reshape(n, h.window, h.width)[:, h.window - h.stride :] += (dq @ p["q"].T).reshape(n, h.stride, h.width)
-        g["e"] = np.zeros_like(p["e"])
-        flat = context.ravel()
-        order = np.argsort(flat.astype(np.uint16), kind="stable")  # narrow numbers are sorted by digits
-        sorted_ = flat[order]
-        first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        g["e"][sorted_[first]] = np.add.reduceat(dx.take(order, axis=0), first, axis=0)
+        both[:, h.stride :], by[:, : h.stride], by[:, h.stride :] = s, q, do[:, :, :-1]
+        dx = both.transpose(0, 2, 1) @ by
+        g["b"] = np.bincount(self.distance.ravel(), ds.sum(axis=0).ravel(), h.window).astype(np.float32)  # 0 where masked
+        dq = (ds @ x[:, :, :-1]).reshape(-1, d)
+        dqk = last.T @ dq
+        g["q"], g["k"] = dqk @ p["k"] * scale, dqk.T @ p["q"] * scale
+        dx[:, h.window - h.stride :] += (dq @ qk.T).reshape(n, h.stride, d)
+        g["e"] = np.zeros(self.cells.shape, dx.dtype)
+        np.add.at(g["e"].reshape(-1), self.cells.take(places.ravel(), axis=0).ravel(), dx.ravel())
+        g["e"] = g["e"][:-1]
         return loss, g
 
     def windows(self, symbols: np.ndarray, offsets: np.ndarray, every: int = 1, shift: np.ndarray | None = None):
@@ -203,32 +236,15 @@ class Model:
 
     def target_logs(self, context: np.ndarray, valid: np.ndarray, target: np.ndarray) -> np.ndarray:
         """What forward() says of the target classes, by tables of each symbol's query, key and value."""
-        h, p, tail = self.t.how, self.p, self.t.how.window - self.t.how.stride
+        h, tail = self.t.how, self.t.how.window - self.t.how.stride
         if self.tables is None:
-            q, k, v = p["e"] @ p["q"] / np.float32(np.sqrt(h.width)), p["e"] @ p["k"], p["e"] @ p["v"]
-            length = lambda x: float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=-1).max()))
-            # What scores can be at most: where that is no danger to float32's exp, no maximum is taken away from them.
-            small = length(q) * length(k) + float(np.abs(p["b"]).max()) < 60, length(v) * length(p["o"].T) < 60
-            self.tables = q, k, v, np.where(self.causal, p["b"][self.distance], np.float32(-1e9)), small
-        q, k, v, bias, small = self.tables
+            x, qk, vo, bias = self._products()
+            self.tables = x[:, :-1] @ qk, x, vo, bias
+        q, x, vo, bias = self.tables
         last = context[:, tail:]
-        s = q.take(last, axis=0) @ k.take(context, axis=0).transpose(0, 2, 1)
-        s += bias
-        if not (whole := valid[:, :tail].all(axis=1)).all():
-            s[~whole] += np.where(valid[~whole], np.float32(0), np.float32(-1e9))[:, None, :]
-        if not small[0]:
-            s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        o = (s @ v.take(context, axis=0)).reshape(-1, h.width)
-        o /= (s.reshape(-1, h.window) @ np.ones((h.window, 1), np.float32))
-        z = o @ p["o"]
-        z += self.t.class_after.take(last.ravel(), axis=0)
-        got = z[np.arange(len(z)), target.ravel()]
-        most = np.float32(0) if small[1] else z.max(axis=1)
-        if not small[1]:
-            z -= most[:, None]
-        np.exp(z, out=z)
-        return (got - most - np.log(z @ np.ones(h.classes, np.float32))).reshape(last.shape)
+        _, _, o = self._attend(q.take(last, axis=0), x.take(np.where(valid, context, h.symbols), axis=0), bias, valid)
+        z, _, total = self._classes(o, vo, last, np.arange(0, target.size * h.classes, h.classes) + target.ravel())
+        return (z - np.log(total)).reshape(last.shape)
 
     def log10(self, ids: np.ndarray, offsets: np.ndarray, at_once: int = 64) -> np.ndarray:
         """log10 of each text's probability, its end among its ids."""
@@ -240,10 +256,11 @@ class Model:
         unnamed = symbols == 0
         each[unnamed] += t.rest[ids[unnamed]]
         context, valid, where, real = self.windows(symbols, offsets)
+        target, got = t.classof[symbols[where]], np.empty(where.shape, np.float32)
         for at in range(0, len(context), at_once):
             part = slice(at, at + at_once)
-            got = self.target_logs(context[part], valid[part], t.classof[symbols[where[part]]])
-            each[where[part][real[part]]] += got[real[part]]
+            got[part] = self.target_logs(context[part], valid[part], target[part])
+        each[where[real]] += got[real]
         sums = np.add.reduceat(np.append(each, 0.0), offsets[:-1]) if len(offsets) > 1 else np.zeros(0)
         return np.where(np.diff(offsets) > 0, sums, 0.0) / np.log(10)
 
@@ -258,12 +275,17 @@ class Model:
             _, g = self.gradient(*b)
             seen += len(b[0])
             g = np.concatenate([g[n].ravel() for n in self.shapes])
-            m += 0.1 * (g - m)
+            m *= 0.9  # ten times the mean, and v a hundred times
+            m += g
             g *= g
-            v += 0.01 * (g - v)
-            step = np.sqrt(v / (1 - 0.99**i))
+            v *= 0.99
+            v += g
+            step = np.multiply(v, 0.01 / (1 - 0.99**i), out=g)
+            np.sqrt(step, out=step)
             step += 1e-8
-            p -= np.divide(m, step, out=step) * (rate / (1 - 0.9**i))
+            np.divide(m, step, out=step)
+            step *= 0.1 * rate / (1 - 0.9**i)
+            p -= step
         return seen
 
 

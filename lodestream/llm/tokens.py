@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,9 @@ _PIECE = 1 << 22
 #: Characters of a text that a byte-level encoder takes at once, and where it may be cut.
 _PART = 1 << 18
 _LONE_SPACE = re.compile(r"(?<=[^\s]) (?=[^\s])")
+#: The one lookahead of the byte-level pattern, which leaves a run's last white space to the word after it, and such runs.
+_AHEAD = r"\s+(?!\S)|"
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")
 
 #: What a byte is: white space, part of a letter (ASCII, and Latin-1 by its two bytes), a digit, a sign, or anything else.
 _SPACE, _LETTER, _DIGIT, _SIGN, _OTHER, _WHOLE = range(6)
@@ -185,8 +190,35 @@ def _cut(raw: np.ndarray, off: np.ndarray, to: int) -> int:
     return last
 
 
+def _may_have_runs(texts: pa.Array) -> np.ndarray:
+    """Which texts have white space side by side, or what may be white space beyond ASCII (by its first byte)."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not len(texts):
+        return np.zeros(0, bool)
+    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    found = (raw == 0xC2) | ((raw >= 0xE1) & (raw <= 0xE3))
+    found[1:] |= space[1:] & space[:-1]
+    return np.bincount(np.searchsorted(off - off[0], np.flatnonzero(found), "right") - 1, minlength=len(texts)) > 0
+
+
+def _parts(text: str) -> Iterator[str]:
+    """text, cut where a run of white space begins and before its last one, if a word follows: what the lookahead does."""
+    at = 0
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        yield text[at:a]
+        at = b - 1 if b < len(text) else a
+        yield text[a:at]
+    yield text[at:]
+
+
 class ByteEncoder:
-    """ids(texts) of a tiktoken file: byte-level pieces, nothing normalised. No ids stand for special tokens."""
+    """ids(texts) of a tiktoken file: byte-level pieces, nothing normalised. No ids stand for special tokens.
+
+    The pattern's lookahead takes half as long again, so it is taken out, and texts with runs of white space are cut as it
+    would. encode_ordinary() is used, as others look for special tokens at every byte, and there are none."""
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
@@ -194,22 +226,33 @@ class ByteEncoder:
 
         with open(path or public_tokenizers.path(BYTE_BPE), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.cut = _AHEAD in public_tokenizers.PATTERN
+        self.of = lambda pattern: tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.pattern = public_tokenizers.PATTERN
+        self.plain = self.of(self.pattern.replace(_AHEAD, ""))
+
+    @cached_property
+    def encoding(self):
+        """The tokenizer with its whole pattern, whose ids encode() gives."""
+        return self.of(self.pattern)
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) as Encoder.encode() has them. Long texts go in parts cut before a lone space, where pieces end
         too, so lists of Python numbers stay short."""
         tail = np.zeros(0, np.int32) if end is None else np.array([end], np.int32)
         out, sizes = [], [0]
-        for x in texts:
-            text, at, n = x.as_py() or "", 0, len(tail)
-            while at < len(text):
-                cut = _LONE_SPACE.search(text, at + _PART) if len(text) - at > _PART else None
-                to = cut.start() if cut else len(text)
-                ids = self.encoding.encode_to_numpy(text[at:to] if at or cut else text, disallowed_special=()).astype(np.int32)
-                out.append(ids)
-                n += len(ids)
-                at = to
+        runs = _may_have_runs(texts) if self.cut else np.zeros(len(texts), bool)
+        for x, some in zip(texts, runs.tolist(), strict=True):
+            n = len(tail)
+            for text in _parts(x.as_py() or "") if some else [x.as_py() or ""]:
+                at = 0
+                while at < len(text):
+                    cut = _LONE_SPACE.search(text, at + _PART) if len(text) - at > _PART else None
+                    to = cut.start() if cut else len(text)
+                    ids = self.plain.encode_ordinary(text[at:to] if at or cut else text)
+                    out.append(np.fromiter(ids, np.int32, len(ids)))
+                    n += len(ids)
+                    at = to
             out.append(tail)
             sizes.append(n)
         return np.concatenate(out) if out else np.zeros(0, np.int32), np.cumsum(np.array(sizes, np.int64))

@@ -159,6 +159,67 @@ def test_gradient():
         assert g[n][at] == pytest.approx((up - down) / (2 * e), abs=2e-3)
 
 
+def test_large_scores():
+    """Where float32's exp needs it, maxima are taken away: numbers stay finite and are those of wider floats."""
+    m = _model()
+    m.p["e"] = m.p["e"] * np.float32(40)
+    symbols = np.random.default_rng(3).integers(0, 32, 41)
+    context, valid, where, real = m.windows(symbols, np.array([0, 3, 41]))
+    target = m.t.classof[symbols[where]]
+    loss, g = m.gradient(context, valid, target, real)
+    logs = m.target_logs(context, valid, target)[real]
+    assert np.isfinite(logs).all() and all(np.isfinite(x).all() for x in g.values())
+    m.p = {n: v.astype(np.float64) for n, v in m.p.items()}
+    z, _ = m.forward(context, valid)
+    assert np.allclose(np.take_along_axis(z, target[:, :, None], 2)[:, :, 0][real], logs, atol=2e-2)
+    assert loss == pytest.approx(m.gradient(context, valid, target, real)[0], rel=1e-3)
+
+
+def _whole_pattern():
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from lodestream.llm.tokens import BYTE_BPE
+
+    with open(public_tokenizers.path(BYTE_BPE), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_byte_ids_are_those_of_the_whole_pattern():
+    import pyarrow as pa
+
+    from lodestream.llm.tokens import ByteEncoder
+
+    rng, whole, mine = np.random.default_rng(5), _whole_pattern(), ByteEncoder()
+    some = ["a", "Bc", "'s", "'", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "\u4e2d", "\xe9", "12", "!", "<|"]
+    texts = ["".join(rng.choice(some, rng.integers(0, 25))) for _ in range(3000)] + [None, "", " ", "\n\n", "a  ", "  a", "a \n b"]
+    ids, off = mine.encode(pa.array(texts), 7)
+    for i, x in enumerate(texts):
+        assert ids[off[i] : off[i + 1]].tolist() == [*whole.encode_ordinary(x or ""), 7]
+
+
+def test_byte_ids_take_less_time_than_one_search_for_special_tokens_and_a_lookahead(spark):
+    import time
+
+    import pyarrow as pa
+
+    from lodestream.llm.tokens import ByteEncoder
+
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    array, whole, mine = pa.array(texts), _whole_pattern(), ByteEncoder()
+
+    def seconds(f):
+        t = time.process_time()
+        f()
+        return time.process_time() - t
+
+    took = [(seconds(lambda: mine.encode(array)), seconds(lambda: [whole.encode_to_numpy(x, disallowed_special=()) for x in texts])) for _ in range(7)]
+    assert min(a for a, _ in took) < 0.85 * min(b for _, b in took)
+
+
 def test_scores_of_odd_rows(spark):
     docs = odd_docs(spark)
     got = lm.score(docs, F.col("doc_id") == 5, ["doc_id"]).collect()
