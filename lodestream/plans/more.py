@@ -115,10 +115,10 @@ SELECT id, round(x, 6) AS final FROM f ORDER BY x DESC, id LIMIT 20"""
 
 
 def _why_until(s, d):
-    """The chain from e390 to the third cause back."""
+    """The chain from e390 to the third cause back, or to the last one there is; itself if it has none."""
     e = from_events(s, d)
     back = causal.ancestors(e, "e390", 3).orderBy(F.desc("depth")).select("node").first()
-    path = causal.why_until(e, "e390", back[0]) if back else []
+    path = causal.why_until(e, "e390", back[0]) if back else ["e390"]
     return s.createDataFrame([(i, x) for i, x in enumerate(path)], "step int, id string")
 
 
