@@ -167,55 +167,78 @@ def metrics(edges: DataFrame) -> DataFrame:
 def communities(edges: DataFrame, weight: str = "belief", rounds: int = 20) -> DataFrame:
     """(node, community) by greedy modularity within each connected component: nodes move to the neighbouring community
     with the largest gain, communities become nodes, until nothing gains. Loops are dropped. A component is optimised in
-    one task, so this is for components that fit there; components() has no such limit."""
-    comp = components(edges)
-    rows = edges.where("src <> dst").join(comp, edges["src"] == comp["node"]).select("src", "dst", F.col(weight).cast("double").alias("w"), F.col("community").alias("root"))
-
-    def run(pdf):
-        import pandas as pd
-
-        return pd.DataFrame(_modularity(list(pdf[["src", "dst", "w"]].itertuples(index=False)), rounds), columns=["node", "community"])
-
-    found = rows.groupBy("root").applyInPandas(run, "node string, community string")
-    return comp.join(found.withColumnRenamed("community", "c"), "node", "left").select("node", F.coalesce("c", "community").alias("community"))
-
-
-def _modularity(edges, rounds: int) -> list[tuple[str, str]]:
-    graph: dict = {}
-    for a, b, w in edges:
-        for x, y in ((a, b), (b, a)):
-            graph.setdefault(x, {})
-            graph[x][y] = graph[x].get(y, 0.0) + w
-    members = {n: [n] for n in sorted(graph)}
-    total = sum(sum(v.values()) for v in graph.values()) or 1.0
+    one task, as arrays of numbers in the order of names (about 100 bytes an edge), so this is for components that fit
+    there; components() has no such limit."""
+    e = materialize(edges.select("src", "dst", F.col(weight).cast("double").alias("w")))
+    comp = components(e)
+    roots = materialize(comp.select("community").distinct().withColumn("root", F.monotonically_increasing_id()))
+    place = F.row_number().over(Window.partitionBy("root").orderBy("node")) - 1
+    nodes = materialize(comp.join(roots, "community").select("node", "root", place.alias("i")))
+    ends = nodes.select(F.col("node").alias("dst"), F.col("i").alias("j"))
+    rows = e.where("src <> dst").join(nodes.withColumnRenamed("node", "src"), "src").join(ends, "dst").select("root", "i", "j", "w")
+
+    def run(key, table):
+        import pyarrow as pa
+
+        i, j, w = (table[c].to_numpy() for c in ("i", "j", "w"))
+        to = _modularity(i, j, w, rounds)
+        return pa.table([pa.array([key[0].as_py()] * len(to), pa.int64()), pa.array(range(len(to)), pa.int32()), pa.array(to, pa.int32())], ["root", "i", "c"])
+
+    found = rows.groupBy("root").applyInArrow(run, "root bigint, i int, c int")
+    named = found.join(nodes.select("root", F.col("i").alias("c"), F.col("node").alias("community")), ["root", "c"]).select("root", "i", "community")
+    return nodes.join(named, ["root", "i"], "left").select("node", F.coalesce("community", "node").alias("community"))
+
+
+def _modularity(i, j, w, rounds: int):
+    """The least member of the community of each node. Nodes are 0 to n - 1, all of them on an edge; i <> j.
+
+    Nodes are visited in their order, each sees what those before it have done. Ties stay, else go to the least."""
+    import numpy as np
+
+    def adjacency(a, b, w, n):
+        """Rows by (a, b), equal ones summed, without a = b: where each a begins, the bs, the weights."""
+        key = a.astype(np.int64) * n + b
+        order = np.argsort(key, kind="stable")
+        key, w = key[order], w[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        a, b = np.divmod(key[first], n)
+        w = np.add.reduceat(w, first)
+        degree = np.bincount(a, weights=w, minlength=n)
+        apart = a != b
+        return degree, np.concatenate(([0], np.cumsum(np.bincount(a[apart], minlength=n)))), b[apart], w[apart], (a, b, w)
+
+    n = int(max(i.max(), j.max())) + 1
+    degree, begin, near, much, rows = adjacency(np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((w, w)), n)
+    total = float(degree.sum()) or 1.0
+    of = np.arange(n)  # the node of this level that each of the first level's is in
     for _ in range(rounds):
-        degree = {n: sum(v.values()) for n, v in graph.items()}
-        at, volume = {n: n for n in graph}, dict(degree)
+        at, volume, sums = np.arange(n), degree.copy(), np.zeros(n)
+        starts, degrees = begin.tolist(), degree.tolist()
         moved, gained = True, False
         while moved:
             moved = False
-            for n in sorted(graph):
-                links: dict = {}
-                for m, w in graph[n].items():
-                    if m != n:
-                        links[at[m]] = links.get(at[m], 0.0) + w
-                volume[at[n]] -= degree[n]
-                best = max(sorted({*links, at[n]}), key=lambda c: (links.get(c, 0.0) - volume[c] * degree[n] / total, c == at[n]))
-                volume[best] += degree[n]
-                if best != at[n]:
-                    at[n], moved, gained = best, True, True
+            for v in range(n):
+                part = slice(starts[v], starts[v + 1])
+                to, d, own = at[near[part]], degrees[v], at[v]
+                np.add.at(sums, to, much[part])
+                volume[own] -= d
+                gains = sums[to] - volume[to] * d / total
+                stay = sums[own] - volume[own] * d / total
+                best, most = own, gains.max(initial=stay)
+                if most > stay:
+                    best = to[gains == most].min()
+                    at[v], moved, gained = best, True, True
+                volume[best] += d
+                sums[to] = 0.0
         if not gained:
             break
-        grouped: dict = {}
-        for n, c in at.items():
-            grouped.setdefault(c, []).append(n)
-        members = {c: [x for n in ns for x in members[n]] for c, ns in grouped.items()}
-        merged: dict = {c: {} for c in grouped}
-        for n, v in graph.items():
-            for m, w in v.items():
-                merged[at[n]][at[m]] = merged[at[n]].get(at[m], 0.0) + w
-        graph = merged
-    return [(x, min(ns)) for ns in members.values() for x in ns]
+        kept, new = np.unique(at, return_inverse=True)
+        of = new[of]
+        n = len(kept)
+        degree, begin, near, much, rows = adjacency(new[rows[0]], new[rows[1]], rows[2], n)
+    least = np.full(n, len(of))
+    np.minimum.at(least, of, np.arange(len(of)))
+    return least[of]
 
 
 def overlay(intervals: DataFrame, add: tuple[str, str, str] | None = None, remove: tuple[str, str, str] | None = None) -> DataFrame:

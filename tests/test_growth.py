@@ -26,3 +26,74 @@ def test_why_until_of_short_chains(spark, tmp_path, before):
     """e390 with none, one, two and more causes."""
     con = events(spark, tmp_path, [(i, 1 if i == 390 or i in before else 1000 + i % 9, "click", 1, i % 5) for i in range(400)])
     assert differences(QUERIES["g08_why_until"](spark, str(tmp_path)), con, ORACLE_SQL["g08_why_until"]) == ""
+
+
+def test_communities_compute_their_edges_once(spark):
+    """The edges of a log are a plan over all of it; it was run by each of the steps that need them."""
+    from lodestream.operators import graph
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(parts):
+        for p in parts:
+            seen.add(len(p))
+            yield p
+
+    cliques = [(f"n{4 * c + a}", f"n{4 * c + b}", 1.0) for c in range(3) for a in range(4) for b in range(a)] + [("n3", "n4", 0.1), ("loop", "loop", 1.0)]
+    e = spark.createDataFrame(cliques, "src string, dst string, belief double").mapInPandas(look, "src string, dst string, belief double")
+    got = {r.node: r.community for r in graph.communities(e).collect()}
+    assert seen.value == len(cliques)
+    groups = [sorted(f"n{4 * c + a}" for a in range(4)) for c in range(3)]
+    assert got == {n: g[0] for g in groups for n in g} | {"loop": "loop"}
+
+
+def moves(edges, names, rounds):
+    """Greedy modularity with dictionaries of names, as _modularity does it with arrays."""
+    graph = {n: {} for n in names}
+    for a, b, w in edges:
+        for x, y in ((a, b), (b, a)):
+            graph[x][y] = graph[x].get(y, 0.0) + w
+    members, total = {n: [n] for n in names}, sum(sum(v.values()) for v in graph.values()) or 1.0
+    for _ in range(rounds):
+        degree = {n: sum(v.values()) for n, v in graph.items()}
+        at, volume, moved, gained = {n: n for n in graph}, dict(degree), True, False
+        while moved:
+            moved = False
+            for n in sorted(graph):
+                links = {}
+                for m, w in graph[n].items():
+                    if m != n:
+                        links[at[m]] = links.get(at[m], 0.0) + w
+                volume[at[n]] -= degree[n]
+                best = max(sorted({*links, at[n]}), key=lambda c: (links.get(c, 0.0) - volume[c] * degree[n] / total, c == at[n]))
+                volume[best] += degree[n]
+                if best != at[n]:
+                    at[n], moved, gained = best, True, True
+        if not gained:
+            break
+        members = {c: [x for n in graph if at[n] == c for x in members[n]] for c in set(at.values())}
+        merged = {c: {} for c in members}
+        for n, v in graph.items():
+            for m, w in v.items():
+                merged[at[n]][at[m]] = merged[at[n]].get(at[m], 0.0) + w
+        graph = merged
+    return {x: min(ns) for ns in members.values() for x in ns}
+
+
+@pytest.mark.parametrize("weights", ["equal", "any", "whole"])
+def test_modularity_by_arrays(weights):
+    import random
+
+    import numpy as np
+
+    from lodestream.operators import graph
+
+    r = random.Random(7)
+    for _ in range(60):
+        e = [(a, b, {"equal": 1.0, "any": r.random(), "whole": float(r.randint(0, 3))}[weights]) for a, b in ((r.randrange(25), r.randrange(25)) for _ in range(r.randint(2, 90))) if a != b]
+        if not e:
+            continue
+        names = sorted({x for a, b, _ in e for x in (a, b)})
+        place = {x: k for k, x in enumerate(names)}
+        i, j, w = (np.array(c) for c in zip(*((place[a], place[b], w) for a, b, w in e), strict=True))
+        assert {names[k]: names[c] for k, c in enumerate(graph._modularity(i, j, w, 20))} == moves(e, names, 20)
