@@ -59,14 +59,16 @@ def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes whose attributes say that a user touches a key: an assertion per event, a retraction per error."""
     e = from_events(spark, sf_dir)
-    value = F.col("attrs")["value"].cast("double")
-    more = F.create_map(
-        F.lit("edge_from"), F.col("agent_id"), F.lit("edge_to"), F.concat(F.lit("k"), F.col("attrs")["k"]), F.lit("edge_type"), F.lit("touch"),
+    value, k = F.col("attrs")["value"], F.col("attrs")["k"]
+    # One literal map, so that the optimizer puts its entries in place of lookups; a concatenation would be made anew for each.
+    attrs = F.create_map(
+        F.lit("value"), value, F.lit("k"), k,
+        F.lit("edge_from"), F.col("agent_id"), F.lit("edge_to"), F.concat(F.lit("k"), k), F.lit("edge_type"), F.lit("touch"),
         F.lit("edge_op"), F.when(F.col("kind") == "error", "retract").otherwise("assert"), F.lit("hypothesis"), F.col("kind"),
         F.lit("stance"), F.when(F.col("kind") == "view", "refute").otherwise("support"),
-        F.lit("confidence"), F.round(F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), value / 500)), 6).cast("string"),
+        F.lit("confidence"), F.round(F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), value.cast("double") / 500)), 6).cast("string"),
     )
-    return e.withColumn("attrs", F.map_concat("attrs", more))
+    return e.withColumn("attrs", attrs)
 
 
 def snapshot(episodes: DataFrame, lsn: int | None = None, timestamp_ms: int | None = None) -> DataFrame:

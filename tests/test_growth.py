@@ -28,6 +28,28 @@ def test_why_until_of_short_chains(spark, tmp_path, before):
     assert differences(QUERIES["g08_why_until"](spark, str(tmp_path)), con, ORACLE_SQL["g08_why_until"]) == ""
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["p11_edge_filter"])
+def test_attributes_of_touches_are_no_concatenations(spark, name):
+    """Maps put together by a function were made anew for each lookup, of which a type's key had one a known type."""
+    plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "map_concat" not in plan
+    assert plan.count("[edge_type]") <= 6 * plan.count("Relation [")
+
+
+def test_edge_types(spark):
+    from logs import edge, episodes
+
+    from lodestream.operators import graph
+
+    names = [*graph.TYPES, *(t.upper() for t in graph.TYPES), "Touch", "custom:x", "", "É"]
+    got = graph.edge_ops(episodes(spark, [edge(f"a{i}", "b", t) for i, t in enumerate(names)] + [{"attrs": {"edge_from": "c", "edge_to": "d"}}])).select("lsn", "etype").orderBy("lsn").collect()
+    assert [r.etype for r in got] == [*map(graph.edge_type_key, names), "custom:provenance"]
+
+
 def test_communities_compute_their_edges_once(spark):
     """The edges of a log are a plan over all of it; it was run by each of the steps that need them."""
     from lodestream.operators import graph
