@@ -103,14 +103,11 @@ def alive(intervals: DataFrame, as_of: int | None = None) -> DataFrame:
 
 
 def match_edges(intervals: DataFrame, versions: DataFrame, src: str | None = None, etype: str | None = None, dst: str | None = None, as_of: int | None = None) -> DataFrame:
-    e = alive(intervals, as_of)
-    if src is not None:
-        e = e.where(F.col("src") == src)
-    if dst is not None:
-        e = e.where(F.col("dst") == dst)
-    if etype is not None:
-        e = e.where(F.col("etype") == edge_type_key(etype))
-    return e.join(beliefs(versions, as_of), list(EDGE), "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
+    e, v = alive(intervals, as_of), versions
+    for c, value in (("src", src), ("dst", dst), ("etype", None if etype is None else edge_type_key(etype))):
+        if value is not None:
+            e, v = e.where(F.col(c) == value), v.where(F.col(c) == value)
+    return e.join(beliefs(v, as_of), list(EDGE), "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
 
 
 def neighbors(intervals: DataFrame, versions: DataFrame, node: str, etype: str | None = None, as_of: int | None = None, least: float = 0.0) -> DataFrame:
