@@ -43,9 +43,9 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("p", F.struct(part(1, 32).alias("hyp"), part(33, 16).alias("sph"), part(49, 16).alias("euc")))
 
 
-def _open(spark, d):
+def _open(spark, d, src=None):
     ops = graph.edge_ops(touches(spark, d))
-    return graph.match_edges(graph.edge_intervals(ops), graph.edge_versions(ops))
+    return graph.match_edges(graph.edge_intervals(ops), graph.edge_versions(ops), src)
 
 
 def _gql(text: str, source=from_events):
@@ -204,7 +204,7 @@ EVENTLOG: dict[str, tuple] = {
     "k10_cold_compaction": (lambda s, d: (lambda e: e.select("lsn").join(e.where("kind = 'error'").select((F.col("lsn") - 1).alias("lsn")), "lsn", "left_anti"))(from_events(s, d)), f"{_W}SELECT lsn FROM ep WHERE lsn NOT IN (SELECT lsn - 1 FROM ep WHERE kind = 'error')"),
     "j_asof": (_asof, "SELECT event_id, view_id FROM (SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS view_id FROM events) WHERE event_type = 'purchase'"),
     "j04_children": (lambda s, d: from_events(s, d).select(F.explode("parents").alias("parent"), F.col("id").alias("child")), f"{_W}SELECT 'e' || parent AS parent, id AS child FROM ep WHERE parent IS NOT NULL"),
-    "j02_graph_match": (lambda s, d: _open(s, d).where("src = 'u3'").select("edge_id", _rounded("belief")), f"{_G}SELECT edge_id, round(belief, 4) AS belief FROM intervals JOIN belief USING (edge_id) WHERE closed IS NULL AND src = 'u3'"),
+    "j02_graph_match": (lambda s, d: _open(s, d, "u3").select("edge_id", _rounded("belief")), f"{_G}SELECT edge_id, round(belief, 4) AS belief FROM intervals JOIN belief USING (edge_id) WHERE closed IS NULL AND src = 'u3'"),
     "j03_neighbors": (lambda s, d: Session(touches(s, d)).run('NEIGHBORS("u7", "touch") AS OF LSN 6000').select("node", _rounded("belief")), f"{_EP and 'WITH '}{_EP.replace('FROM events)', 'FROM events WHERE event_id < 6000)')}, {_OPS} SELECT dst AS node, round(belief, 4) AS belief FROM intervals JOIN belief USING (edge_id) WHERE closed IS NULL AND src = 'u7'"),
     "g_edge_intervals": (_intervals, f"{_G}SELECT edge_id, opened, closed FROM intervals"),
     "a06_metrics": (lambda s, d: graph.metrics(_open(s, d)).select("node", "degree", _rounded("centrality", 6), _rounded("z_score", 4)), f"{_G}, deg AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM intervals WHERE closed IS NULL UNION ALL SELECT dst FROM intervals WHERE closed IS NULL) GROUP BY node) SELECT node, degree, round(degree / ((SELECT count(*) FROM deg) - 1), 6) AS centrality, round((degree - (SELECT avg(degree) FROM deg)) / (SELECT stddev_pop(degree) FROM deg), 4) AS z_score FROM deg"),

@@ -32,7 +32,7 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["p11_edge_filter", "g13_simulate"])
+@pytest.mark.parametrize("name", ["p11_edge_filter", "g13_simulate", "j02_graph_match"])
 def test_attributes_of_touches_are_no_concatenations(spark, name):
     """Maps put together by a function were made anew for each lookup, of which a type's key had one a known type."""
     plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
@@ -121,7 +121,7 @@ def test_modularity_by_arrays(weights):
         assert {names[k]: names[c] for k, c in enumerate(graph._modularity(i, j, w, 20))} == moves(e, names, 20)
 
 
-@pytest.mark.parametrize("name, end", [("g13_simulate", "u1")])
+@pytest.mark.parametrize("name, end", [("j02_graph_match", "u3"), ("g13_simulate", "u1")])
 def test_ends_narrow_the_evidence_too(spark, name, end):
     """Beliefs are only worked out for the edges that were asked for: the condition is on both sides' scans."""
     plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
