@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions.text import occurrences, tokens
 from lodestream.functions.vectors import euclidean, vector
+from lodestream.operators.graph import materialize
 
 
 def nearest(rows: DataFrame, embedding: Column, query, k: int, key: str = "lsn") -> DataFrame:
@@ -156,3 +157,19 @@ def learn_weights(examples: DataFrame, channels: list[str]) -> DataFrame:
         out = one if out is None else out.crossJoin(one)  # one row each
     total = sum((F.col(c) for c in channels), F.lit(0.0))
     return out.select(*(F.when(total > 0, F.col(c)).otherwise(1.0).alias(c) for c in channels))
+
+
+def word_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """w, n, df: how often a word stands in all texts and under how many keys.
+
+    A row's words are sorted, so that the first of each tells whether the row has it: what moves is a row per word, not
+    one per word and key. Keys on more than one row, rare, are found first, and what they were counted too often is
+    taken off."""
+    words = docs.select(F.col(key).alias("key"), F.sort_array(tokens(F.col(text))).alias("t"))
+    marked = F.transform("t", lambda w, i: F.struct(w.alias("w"), ((i == 0) | (F.get("t", i - 1) != w)).alias("first")))
+    counts = words.select("key", F.explode(marked).alias("x")).groupBy("x.w").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x.first") & F.col("key").isNotNull()).alias("df"))
+    many = materialize(docs.select(F.col(key).alias("key")).where("key IS NOT NULL").groupBy("key").count().where("count > 1").select("key"))
+    if many.isEmpty():
+        return counts
+    again = words.join(many, "key", "left_semi").select("key", F.explode(F.array_distinct("t")).alias("w")).groupBy("w", "key").agg((F.count(F.lit(1)) - 1).alias("more")).groupBy("w").agg(F.sum("more").alias("more"))
+    return counts.join(again, "w", "left").select("w", "n", (F.col("df") - F.coalesce("more", F.lit(0))).alias("df"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions import vectors
-from lodestream.functions.text import tokens
 from lodestream.operators import causal, entity, graph, reports, retrieval
 from lodestream.plans.gql import Session
 from lodestream.sources.episodes import events_view, from_events, load, snapshot, touches, valid_at
@@ -247,6 +246,6 @@ EVENTLOG: dict[str, tuple] = {
     "r01_recall": (lambda s, d: retrieval.recall(_docs(s, d), _WORDS, 20).select(F.col("key").alias("lsn"), _rounded("score")), f"WITH t AS (SELECT doc_id, {_TOK % 1} AS t FROM documents), x AS (SELECT doc_id, w, len(list_filter(t, lambda y: y = w)) AS tf FROM t, (VALUES ('the'), ('und')) AS q(w)), df AS (SELECT w, count(*) AS df FROM x WHERE tf > 0 GROUP BY w), s AS (SELECT doc_id, sum(tf * greatest(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)), 1e-4::DOUBLE)) AS score FROM x JOIN df USING (w) WHERE tf > 0 GROUP BY doc_id) SELECT doc_id AS lsn, round(score, 4) AS score FROM s ORDER BY s.score DESC, doc_id DESC LIMIT 20"),
     "r02_bm25": (lambda s, d: retrieval.bm25(_docs(s, d), _WORDS, 20).select(F.col("key").alias("lsn"), _rounded("score")), f"WITH t AS (SELECT doc_id, {_TOK % 2} AS t FROM documents), a AS (SELECT count(*) AS n, greatest(avg(len(t)), 1) AS avgdl FROM t), x AS (SELECT doc_id, len(t) AS len, w, len(list_filter(t, lambda y: y = w)) AS tf FROM t, (VALUES ('the'), ('und')) AS q(w)), df AS (SELECT w, count(*) AS df FROM x WHERE tf > 0 GROUP BY w), s AS (SELECT doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS score FROM x JOIN df USING (w), a WHERE tf > 0 GROUP BY doc_id) SELECT doc_id AS lsn, round(score, 4) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 20"),
     "r03_substring_tf": (lambda s, d: retrieval.substring_search(_docs(s, d), "the", 20).select(F.col("key").alias("lsn"), "score"), "SELECT doc_id AS lsn, ((length(t) - length(replace(t, 'the', ''))) // 3)::BIGINT AS score FROM (SELECT doc_id, lower(text) AS t FROM documents) ORDER BY 2 DESC, 1 DESC LIMIT 20"),
-    "r04_tokenize": (lambda s, d: load(s, d, "documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("df")), f"SELECT w, count(*) AS n, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOK % 2}) AS w FROM documents) GROUP BY w"),
+    "r04_tokenize": (lambda s, d: retrieval.word_counts(load(s, d, "documents"), "doc_id", "text"), f"SELECT w, count(*) AS n, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOK % 2}) AS w FROM documents) GROUP BY w"),
     "r05_rrf": (_rrf, "WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), c AS (SELECT doc_id, w, ((length(t) - length(replace(t, w, ''))) // 3) AS s FROM d, (VALUES ('the'), ('and')) AS q(w)), r AS (SELECT doc_id, row_number() OVER (PARTITION BY w ORDER BY s DESC, doc_id DESC) AS rank FROM c WHERE s > 0) SELECT doc_id AS id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM r WHERE rank <= 50 GROUP BY doc_id"),
 }

@@ -127,3 +127,20 @@ def test_ends_narrow_the_evidence_too(spark, name, end):
     plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
     beliefs = plan.split("Join LeftOuter")[1].split("min_by", 1)[1]
     assert f"= {end})" in beliefs
+
+
+def test_words_move_once_a_word(spark):
+    """A row per word and document was shuffled to count documents."""
+    plan = QUERIES["r04_tokenize"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" in plan and "doc_id" not in "".join(x for x in plan.splitlines() if "Aggregate(" in x)
+
+
+def test_words_of_odd_documents(spark, tmp_path):
+    """Keys on several rows, null keys and texts, repeated words, no words."""
+    import duckdb
+
+    rows = [(1, "ab ab cd"), (1, "ab ef"), (1, "ab ab"), (2, "cd x Éa éa"), (3, None), (4, "  "), (None, "ab gh"), (None, "ab"), (5, "Ab-AB_ab 10"), (2, "cd"), (6, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert differences(QUERIES["r04_tokenize"](spark, str(tmp_path)), con, ORACLE_SQL["r04_tokenize"]) == ""
