@@ -32,7 +32,7 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["p11_edge_filter", "g13_simulate", "j02_graph_match", "g11_decide"])
+@pytest.mark.parametrize("name", ["p11_edge_filter", "g13_simulate", "j02_graph_match", "g11_decide", "p10_project_edge"])
 def test_attributes_of_touches_are_no_concatenations(spark, name):
     """Maps put together by a function were made anew for each lookup, of which a type's key had one a known type."""
     plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
